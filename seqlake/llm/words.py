@@ -6,14 +6,16 @@ All of them work on one bounded slice of a partition at a time, so a worker's me
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import tempfile
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 SLICE_BYTES = 6 << 20
-CACHE_WORDS = 400_000
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -50,23 +52,6 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return codes, offsets, words
 
 
-class WordTable:
-    """Values of a function of a word, kept between slices for at most CACHE_WORDS words."""
-
-    def __init__(self, of: Callable[[list[str]], list], limit: int = CACHE_WORDS):
-        self.of, self.limit, self.kept = of, limit, {}
-
-    def values(self, words: pa.Array) -> list:
-        names = words.to_pylist()
-        kept = self.kept
-        if new := [w for w in names if w not in kept]:
-            if len(kept) + len(new) > self.limit:
-                kept.clear()
-                new = names
-            kept.update(zip(new, self.of(new), strict=True))
-        return [kept[w] for w in names]
-
-
 def row_of(offsets: np.ndarray) -> np.ndarray:
     """The text number of each word."""
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -82,14 +67,46 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of MIX and of its inverse modulo 2**64."""
+    size = 1 << max(16, (n - 1).bit_length())
+    if size not in POWERS:
+        POWERS.clear()
+        steps = [np.full(size, x, np.uint64) for x in (int(MIX), pow(int(MIX), -1, 1 << 64))]
+        for x in steps:
+            x[0] = 1
+        POWERS[size] = (np.cumprod(steps[0], dtype=np.uint64), np.cumprod(steps[1], dtype=np.uint64))
+    return POWERS[size]
+
+
 def windows(hashes: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of `size` words inside one text, and the position of each run's first word."""
+    """Hashes of all runs of `size` words inside one text, and the position of each run's first word.
+
+    A run's hash is a polynomial in its words' hashes modulo 2**64, taken from running sums.
+    """
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    up, down = powers(len(hashes))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * down[: len(hashes)], dtype=np.uint64)))
     rows = row_of(offsets)
     inside = np.flatnonzero(rows[:n] == rows[size - 1 :])
-    out = np.zeros(len(inside), np.uint64)
-    for k in range(size):
-        out = mixed(out * MIX + hashes[inside + k])
-    return out, inside
+    return mixed((sums[inside + size] - sums[inside]) * up[inside]), inside
+
+
+def hashed(words: list[str] | np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, the same in every process."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    return pd.util.hash_array(np.array(words, dtype=object), categorize=False)
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The rows, computed once and kept where all executors and a restarted one can read them."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+    return df.checkpoint(eager=True)
