@@ -22,8 +22,8 @@ from .words import MIX, hashed, mixed, row_of, slices, split_words, texts_of
 
 BITS = 20
 MAX_ROWS = 6000
-EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.0, 1.0
+EPOCHS = 10
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 4.0, 1.0
 MARKS = ".,;:!?\"'()[]{}<>|*#$%&@~^_=+/\\-`"
 
 
