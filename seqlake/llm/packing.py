@@ -44,12 +44,12 @@ def choose_cuts(positions: np.ndarray, penalties: np.ndarray, capacity: int = CA
     if m <= 0:
         return []
     p, pen = positions.tolist(), penalties.tolist()
-    exact: list[list[int]] = [[] for _ in range(m + 1)]
-    length = 16
+    exact: dict[int, list[int]] = {}
+    length = 64
     while length < capacity:
         at = np.searchsorted(positions, positions - length)
         for i in np.flatnonzero((positions - length >= p[0]) & (positions[np.minimum(at, m)] == positions - length)).tolist():
-            exact[i].append(int(at[i]))
+            exact.setdefault(i, []).append(int(at[i]))
         length *= 2
     cost, key, back = [0.0] * (m + 1), [0.0] * (m + 1), [0] * (m + 1)
     key[0] = float(p[0])
@@ -60,9 +60,10 @@ def choose_cuts(positions: np.ndarray, penalties: np.ndarray, capacity: int = CA
             queue.popleft()
         j = queue[0]
         best = key[j] + capacity - x
-        for e in exact[i]:
-            if cost[e] < best:
-                best, j = cost[e], e
+        if i in exact:
+            for e in exact[i]:
+                if cost[e] < best:
+                    best, j = cost[e], e
         best += pen[i] + SEQUENCE_COST
         cost[i], back[i] = best, j
         k = key[i] = best + x
@@ -78,8 +79,11 @@ def choose_cuts(positions: np.ndarray, penalties: np.ndarray, capacity: int = CA
 
 def ragged(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs flat[first : first + size] one after another, and where each begins and the last ends."""
-    at = np.concatenate(([0], np.cumsum(size)))
-    return flat[np.repeat(first - at[:-1], size) + np.arange(at[-1])], at
+    at = np.zeros(len(size) + 1, np.int32)
+    np.cumsum(size, out=at[1:])
+    index = np.repeat(first - at[:-1], size)
+    index += np.arange(at[-1], dtype=np.int32)
+    return flat[index], at
 
 
 class Tokens:
@@ -92,7 +96,7 @@ class Tokens:
 
     JOINED = 400
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 1_200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
@@ -104,20 +108,24 @@ class Tokens:
 
     def _clear(self) -> None:
         self.number: dict[str, int] = {"": 0}
-        self.flat, self.first, self.size = np.zeros(1 << 16, np.uint32), [0], [0]
-        self.used = 0
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.first, self.size, self.ends = (np.zeros(1 << 16, t) for t in (np.int32, np.int32, bool))
 
-    def _keep(self, words: list[str], ids: np.ndarray, sizes: list[int]) -> None:
+    def _keep(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, m = len(self.number), len(words)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        while n + m > len(self.first):
+            self.first, self.size, self.ends = (np.concatenate((x, np.zeros_like(x))) for x in (self.first, self.size, self.ends))
         self.flat[self.used : self.used + len(ids)] = ids
-        n = len(self.first)
-        self.number.update(zip(words, range(n, n + len(words)), strict=True))
-        self.first += (np.cumsum(sizes) - sizes + self.used).tolist()
-        self.size += sizes
+        self.first[n : n + m] = np.cumsum(sizes) - sizes + self.used
+        self.size[n : n + m] = sizes
+        self.ends[n : n + m] = [w.endswith((".", "!", "?")) for w in words]
+        self.number.update(zip(words, range(n, n + m), strict=True))
         self.used += len(ids)
 
-    def _learn(self, words: list[str]) -> None:
+    def _encode(self, words: list[str]) -> None:
+        """By the library: words of letters many at a time, where each ends with an end-of-word token."""
         plain = [w for w in words if w.isalpha()]
         rest = [w for w in words if not w.isalpha()]
         groups = [plain[i : i + self.JOINED] for i in range(0, len(plain), self.JOINED)]
@@ -125,20 +133,39 @@ class Tokens:
             ids = np.array(found.ids, np.uint32)
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) == len(group) and ends[-1] == len(ids):
-                self._keep(group, ids, np.diff(ends, prepend=0).tolist())
+                self._keep(group, ids, np.diff(ends, prepend=0))
             else:
                 rest += group
         if rest:
             found = [x.ids for x in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
-            self._keep(rest, np.array([i for x in found for i in x], np.uint32), [len(x) for x in found])
+            self._keep(rest, np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found]))
+
+    def _learn(self, words: list[str]) -> None:
+        known = self.number
+        whole, cut, parts = [], [], []
+        for w in words:
+            s = w.rstrip(".,!?;:")
+            if len(s) < len(w) and s[-1:].isalnum() and not s[-1].isupper():
+                cut.append(w)
+                parts += (s, w[len(s) :])
+            else:
+                whole.append(w)
+        self._encode(list(dict.fromkeys(w for w in (*whole, *parts) if w not in known)))
+        if cut:
+            at = np.array([known[x] for x in parts], np.int64)
+            ids, bounds = ragged(self.flat, self.first[at], self.size[at])
+            self._keep(cut, ids, bounds[2::2] - bounds[:-1:2])
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         known = self.number
-        if new := list(dict.fromkeys(w for w in words if w not in known)):
-            if len(known) + len(new) > self.limit:
-                self._clear()
-                known, new = self.number, list(dict.fromkeys(w for w in words if w))
-            self._learn(new)
+        try:
+            return np.array([known[w] for w in words], np.int64)
+        except KeyError:
+            new = [w for w in words if w not in known]
+        if len(known) + len(new) > self.limit:
+            self._clear()
+            known, new = self.number, [w for w in words if w]
+        self._learn(new)
         return np.array([known[w] for w in words], np.int64)
 
     def __call__(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -146,16 +173,9 @@ class Tokens:
         if not pc.any(pc.match_substring(texts, "<|")).as_py():  # special tokens have a case
             texts = pc.ascii_lower(texts)
         codes, offsets, words = split_words(texts)
-        stems = pc.ascii_rtrim(words, ".,!?;:")
-        stems = pc.if_else(pc.match_substring_regex(stems, r"[\p{Ll}\p{Lo}\p{N}]$"), stems, words)
-        names, cut = words.to_pylist(), stems.to_pylist()
-        both = self._numbers([*cut, *(w[len(s) :] for w, s in zip(names, cut, strict=True))])
-        ends = pc.match_substring_regex(words, r"[.!?]$").to_numpy(zero_copy_only=False)
-        first, sizes = np.array(self.first, np.int64), np.array(self.size, np.int64)
-        pieces = both.reshape(2, -1).T.reshape(-1)
-        own, at = ragged(self.flat, first[pieces], sizes[pieces])  # of each distinct word
-        ids, at = ragged(own, at[:-1:2][codes], (at[2::2] - at[:-1:2])[codes])
-        stop = at[1:][ends[codes]]
+        pieces = self._numbers(words.to_pylist())[codes]
+        ids, at = ragged(self.flat, self.first[pieces], self.size[pieces])
+        stop = at[1:][self.ends[pieces]]
         bounds = at[offsets]
         till = np.searchsorted(stop, bounds, side="right")
         for r in range(len(offsets) - 1):
@@ -244,7 +264,7 @@ def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column
 
         task = TaskContext.get()
         tokens, packer = Tokens(tokenizer), Packer((task.partitionId() if task else 0) << 40, capacity)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 12 << 20):
             out = []
             for doc, (ids, ends) in zip(batch.column("id").to_pylist(), tokens(texts_of(batch)), strict=True):
                 out += packer.add(doc, ids, ends)

@@ -31,8 +31,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = SLIC
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
-    """A text column with nulls read as empty."""
-    return pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    """A text column with nulls read as empty, in buffers of its own: kernels do not all mind an offset."""
+    texts = pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2] or pa.py_buffer(b"")
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer((at - at[0]).tobytes()), data.slice(int(at[0]), int(at[-1] - at[0])))
 
 
 def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
