@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .words import durable, hashed, mixed, slices, split_words, texts_of, windows
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
-TREES, DEEPEST = 48, 9
+TREES, DEEPEST, FIRST_TREES = 48, 9, 8
 BLOCK = 256
 NO_WORDS = np.uint64(0x5EED)
 
@@ -230,17 +230,28 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str
     plain = docs.select(key.alias("key"), docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
     rows = durable(sketches(plain, depth_for(threshold, recall)))
     sets = rows.groupBy("set").agg(F.count("*").alias("copies"), F.min_by("key", F.xxhash64("key")).alias("key"), F.min_by("prefixes", F.xxhash64("key")).alias("prefixes"))
-    dealt = durable(sets.select("set", "key", "copies", F.explode("prefixes").alias("prefix")))
-    # prefixes with several members; of those with equal members, as trees repeat them, the first
-    full = dealt.groupBy("prefix").agg(F.count("*").alias("members"), F.sum(F.xxhash64("set").cast("decimal(20,0)")).alias("who"), F.min("set").alias("one")).filter("members > 1")
-    full = full.groupBy("members", "who", "one").agg(F.min("prefix").alias("prefix"))
-    members = durable(dealt.join(full.select("prefix", "members"), "prefix"))
-    wanted = members.groupBy("set").agg(F.first("key").alias("key"))
-    found = plain.join(wanted.hint("shuffle_hash"), "key").groupBy("set").agg(F.first("text").alias("text"))
-    shingles = durable(with_shingles(found))
-    blocks = in_blocks(members, "prefix", "members", BLOCK).join(shingles, "set")
-    links = blocks.groupBy("prefix", "low", "high").applyInPandas(lambda pdf: linked(pdf, threshold), "a long, b long")
-    labels = components(links)
+    sets = durable(sets)
+    links, labels = None, None
+    shingles = None
+    for low, high in ((0, FIRST_TREES), (FIRST_TREES, TREES)):
+        # the first trees link most of what is similar; the others only add what joins two components
+        known = sets if labels is None else sets.join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
+        dealt = known.select("set", "key", (F.lit(0) if labels is None else F.col("label")).alias("label"), F.explode(F.slice("prefixes", low + 1, high - low)).alias("prefix"))
+        several = F.count("*") > 1 if labels is None else F.min("label") != F.max("label")
+        # of prefixes with equal members, as trees repeat them, the first
+        full = dealt.groupBy("prefix").agg(F.count("*").alias("members"), F.sum(F.xxhash64("set").cast("decimal(20,0)")).alias("who"), several.alias("several")).filter("several")
+        full = full.groupBy("members", "who").agg(F.min("prefix").alias("prefix"))
+        members = durable(dealt.select("set", "key", "prefix").join(full, "prefix").select("set", "key", "prefix", "members"))
+        wanted = members.groupBy("set").agg(F.first("key").alias("key"))
+        if shingles is not None:
+            wanted = wanted.join(shingles, "set", "left_anti")
+        found = plain.join(wanted.hint("shuffle_hash"), "key").groupBy("set").agg(F.first("text").alias("text"))
+        fresh = durable(with_shingles(found))
+        shingles = fresh if shingles is None else shingles.union(fresh)
+        blocks = in_blocks(members, "prefix", "members", BLOCK).join(shingles, "set")
+        more = durable(blocks.groupBy("prefix", "low", "high").applyInPandas(lambda pdf: linked(pdf, threshold), "a long, b long"))
+        links = more if links is None else links.union(more)
+        labels = components(links)
     copies = sets.select("set", "copies")
     if count_links:
         size = labels.groupBy("label").agg(F.count("*").alias("size"))
