@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .words import durable, hashed, mixed, slices, split_words, texts_of, windows
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
-TREES, DEEPEST, FIRST_TREES = 48, 9, 8
+TREES, DEEPEST, FIRST_TREES = 40, 9, 8
 BLOCK = 256
 NO_WORDS = np.uint64(0x5EED)
 
@@ -75,8 +75,8 @@ class Forest:
         labels = np.full(len(self.flip), 0xFFFFFFFF, np.uint32)
         for k in range(0, len(small), 512):
             part = small[k : k + 512]
-            for j in range(0, len(labels), 48):  # in pieces that stay in the processor's cache
-                labels[j : j + 48] = np.minimum(labels[j : j + 48], ((part ^ self.flip[j : j + 48]) * self.scale[j : j + 48]).min(axis=1))
+            for j in range(0, len(labels), 40):  # in pieces that stay in the processor's cache
+                labels[j : j + 40] = np.minimum(labels[j : j + 40], ((part ^ self.flip[j : j + 40]) * self.scale[j : j + 40]).min(axis=1))
         out = self.salt.copy()
         for level in labels.reshape(self.trees, self.depth).T:
             out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + level)
@@ -148,28 +148,37 @@ def in_blocks(members: DataFrame, group: str, count: str, block: int) -> DataFra
     n = F.ceil(F.col(count) / block).cast("int")
     own = F.pmod(F.xxhash64(F.col(group), F.col("set"), F.lit(7)), n).cast("int")
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    return dealt.select(group, "set", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    return dealt.select(*[c for c in members.columns if c != count], "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
 
 
 def _sets(pdf: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
     return pdf["set"].to_numpy(), [np.frombuffer(x, "<u8") for x in pdf["shingles"]]
 
 
-def forest_of(n: int, links: np.ndarray) -> list[tuple[int, int]]:
-    """Edges from each vertex to the first of its component."""
-    label = np.arange(n)
-    for i in range(n):
-        if (near := np.flatnonzero(links[i])).size:
-            known = np.unique(np.append(label[near], label[i]))
-            if len(known) > 1:
-                label[np.isin(label, known)] = known[0]
-    return [(i, int(label[i])) for i in range(n) if label[i] != i]
+def forest_of(names: np.ndarray, links: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect what is linked; rows with equal names are one vertex."""
+    vertices, code = np.unique(names, return_inverse=True)
+    i, j = np.nonzero(links)
+    pairs = np.unique(np.minimum(code[i], code[j]).astype(np.int64) * len(vertices) + np.maximum(code[i], code[j]))
+    root = list(range(len(vertices)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for p in pairs.tolist():
+        x, y = find(p // len(vertices)), find(p % len(vertices))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+    return [(int(vertices[x]), int(vertices[find(x)])) for x in range(len(vertices)) if find(x) != x]
 
 
 def linked(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links that connect what is linked between two blocks of one prefix."""
+    """Edges between the labels (components so far) that are linked between two blocks of one prefix."""
     low, high = int(pdf["low"].iloc[0]), int(pdf["high"].iloc[0])
-    names, sets = _sets(pdf)
+    names, sets = pdf["label"].to_numpy(), _sets(pdf)[1]
     if low != high:
         first = pdf["own"].to_numpy() == low
         order = np.argsort(~first, kind="stable")
@@ -180,8 +189,8 @@ def linked(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
         links[:n, n:] = similar(sets[:n], sets[n:], threshold)
     else:
         links = np.triu(similar(sets, None, threshold), 1)
-    edges = forest_of(len(sets), links | links.T)
-    return pd.DataFrame({"a": [names[x] for x, _ in edges], "b": [names[y] for _, y in edges]}, dtype="int64")
+    edges = forest_of(names, links)
+    return pd.DataFrame({"a": [x for x, _ in edges], "b": [y for _, y in edges]}, dtype="int64")
 
 
 def counted(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
@@ -231,30 +240,27 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str
     rows = durable(sketches(plain, depth_for(threshold, recall)))
     sets = rows.groupBy("set").agg(F.count("*").alias("copies"), F.min_by("key", F.xxhash64("key")).alias("key"), F.min_by("prefixes", F.xxhash64("key")).alias("prefixes"))
     sets = durable(sets)
-    links, labels = None, None
-    shingles = None
+    labels, shingles = sets.select("set", F.col("set").alias("label")), None
     for low, high in ((0, FIRST_TREES), (FIRST_TREES, TREES)):
-        # the first trees link most of what is similar; the others only add what joins two components
-        known = sets if labels is None else sets.join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
-        dealt = known.select("set", "key", (F.lit(0) if labels is None else F.col("label")).alias("label"), F.explode(F.slice("prefixes", low + 1, high - low)).alias("prefix"))
-        several = F.count("*") > 1 if labels is None else F.min("label") != F.max("label")
+        # the first trees link most of what is similar; the others only compare what could join two components
+        dealt = sets.join(labels, "set").select("set", "key", "label", F.explode(F.slice("prefixes", low + 1, high - low)).alias("prefix"))
         # of prefixes with equal members, as trees repeat them, the first
-        full = dealt.groupBy("prefix").agg(F.count("*").alias("members"), F.sum(F.xxhash64("set").cast("decimal(20,0)")).alias("who"), several.alias("several")).filter("several")
+        full = dealt.groupBy("prefix").agg(F.count("*").alias("members"), F.sum(F.xxhash64("set").cast("decimal(20,0)")).alias("who"), (F.min("label") != F.max("label")).alias("several")).filter("several")
         full = full.groupBy("members", "who").agg(F.min("prefix").alias("prefix"))
-        members = durable(dealt.select("set", "key", "prefix").join(full, "prefix").select("set", "key", "prefix", "members"))
+        members = durable(dealt.join(full, "prefix").select("set", "key", "label", "prefix", "members"))
         wanted = members.groupBy("set").agg(F.first("key").alias("key"))
         if shingles is not None:
             wanted = wanted.join(shingles, "set", "left_anti")
         found = plain.join(wanted.hint("shuffle_hash"), "key").groupBy("set").agg(F.first("text").alias("text"))
         fresh = durable(with_shingles(found))
         shingles = fresh if shingles is None else shingles.union(fresh)
-        blocks = in_blocks(members, "prefix", "members", BLOCK).join(shingles, "set")
-        more = durable(blocks.groupBy("prefix", "low", "high").applyInPandas(lambda pdf: linked(pdf, threshold), "a long, b long"))
-        links = more if links is None else links.union(more)
-        labels = components(links)
+        blocks = in_blocks(members.drop("key"), "prefix", "members", BLOCK).join(shingles, "set")
+        links = blocks.groupBy("prefix", "low", "high").applyInPandas(lambda pdf: linked(pdf, threshold), "a long, b long")
+        joined = components(links).select(F.col("set").alias("label"), F.col("label").alias("to"))
+        labels = durable(labels.join(joined, "label", "left").select("set", F.coalesce("to", "label").alias("label")))
     copies = sets.select("set", "copies")
     if count_links:
-        size = labels.groupBy("label").agg(F.count("*").alias("size"))
+        size = labels.groupBy("label").agg(F.count("*").alias("size")).filter("size > 1")
         own = labels.join(size, "label").select(F.col("label").alias("class"), "set", "size")
         blocks = in_blocks(own, "class", "size", BLOCK).join(shingles.join(copies, "set"), "set")
         counts = blocks.groupBy("class", "low", "high").applyInPandas(lambda pdf: counted(pdf, threshold), "set long, links long").groupBy("set").agg(F.sum("links").alias("links"))
