@@ -96,7 +96,7 @@ class Tokens:
 
     JOINED = 400
 
-    def __init__(self, path: str, limit: int = 1_200_000):
+    def __init__(self, path: str, limit: int = 900_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
@@ -264,7 +264,7 @@ def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column
 
         task = TaskContext.get()
         tokens, packer = Tokens(tokenizer), Packer((task.partitionId() if task else 0) << 40, capacity)
-        for batch in slices(batches, "text", 12 << 20):
+        for batch in slices(batches, "text", 8 << 20):
             out = []
             for doc, (ids, ends) in zip(batch.column("id").to_pylist(), tokens(texts_of(batch)), strict=True):
                 out += packer.add(doc, ids, ends)

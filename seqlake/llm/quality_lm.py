@@ -29,6 +29,7 @@ QUANTILE, MARGIN = 0.995, 1.05
 BROADCAST_ROWS = 6_000_000
 BROADCAST_IDS = 2_000_000
 LEAST_LABELS, MAX_LANGUAGES = 50, 64
+SLICE = 1 << 20  # bytes of text at a time; some forty bytes of arrays go with each
 PAD = 0  # stands before the first byte of a text
 
 
@@ -52,7 +53,7 @@ def count_grams(trusted: DataFrame) -> DataFrame:
     """gram and n over the texts of trusted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             found, n = np.unique(grams(texts_of(batch))[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n, pa.int64())], names=["gram", "n"])
 
@@ -154,7 +155,7 @@ def score_broadcast(rows: DataFrame, tables: list[DataFrame], rests: list[DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not ready:
             ready.extend([Lookup(*x) for x in part] for part in spread.value)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             found, size = grams(texts_of(batch))
             sums = np.concatenate(([0.0], np.cumsum(log_probabilities(found, *ready))))
             ends = np.cumsum(size)
@@ -167,7 +168,7 @@ def score_joined(rows: DataFrame, tables: list[DataFrame], rests: list[DataFrame
     """The same by joins of the rows' n-grams with the sharded tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             found, size = grams(texts_of(batch))
             owner = np.repeat(np.arange(len(size)), size)
             order = np.lexsort((found, owner))
