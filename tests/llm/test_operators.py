@@ -1,0 +1,247 @@
+"""Each operator against brute force, on awkward small tables."""
+
+import collections
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from seqlake.llm import chat_format, decontamination, html_text, jaccard_join, packing, pii, quality_lm, quality_rules, token_counts, toxicity
+
+tokenizers = pytest.importorskip("tokenizers")
+public = pytest.importorskip("public_tokenizers")
+
+AWKWARD = ["", None, " \n\t ", "one", "Der Straße's 12.5% it's we'll !!  ...", "<|endoftext|> a<|endoftext|>", "é" * 3000, "x" * 9000, "a b c d e f g h. " * 900, "tie tie", "tie tie", "mail a@b.c_d@e.f and 1.2.3.4.5.6.7.8 or 4111 1111 1111 1111 +1 (743) 555-3824", "İ. ẞ!   日本 👍", "l1\nl1\n\nl1 \n#*$ |<>"]
+DOCS = "doc_id long, text string, lang string, key int, label int, seq int"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en" if i % 2 else None, 1, 2, 3) for i, t in enumerate(AWKWARD)]
+    return spark.createDataFrame([*rows, (None, "no id here", "en", 0, 0, 0), rows[4]], DOCS)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(0, 1, 0), (8, 1, 0), (8, 0, 1), (None, 1, 1), (999, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+
+
+def tokenizer(name):
+    return tokenizers.Tokenizer.from_file(public.path(name))
+
+
+def test_packing(spark, docs):
+    rows = packing.pack(docs.filter("doc_id is not null").dropDuplicates(["doc_id"]), public.path("word_bpe_49k.json")).collect()
+    t, by, sequences = tokenizer("word_bpe_49k.json"), collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        by[r["doc_id"]].append(r)
+        sequences[r["sequence_id"]].append(r)
+    for i, text in enumerate(AWKWARD):
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        at = 0
+        for r in sorted(by[i], key=lambda r: r["start"]):
+            assert (r["start"], r["doc_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(ids[at : at + r["length"]].tobytes()))
+            at += r["length"]
+        assert at == len(ids)
+    for parts in sequences.values():
+        at = 0
+        for r in sorted(parts, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 2048
+
+
+def test_cuts_are_the_cheapest():
+    r = np.random.RandomState(1)
+    for _ in range(30):
+        positions = np.concatenate(([0], np.cumsum(r.randint(1, 40, 14))))
+        penalties = r.choice([0.0, 2.0, 32.0], len(positions))
+
+        def cost(cuts):
+            total, a = 0.0, 0
+            for c in cuts:
+                size = positions[c] - positions[a]
+                exact = size >= 64 and not size & (size - 1)
+                total += (0 if exact else 128 - size) + penalties[c] + packing.SEQUENCE_COST
+                a = c
+            return total
+
+        best = [0.0] + [float("inf")] * 14
+        for i in range(1, 15):
+            for j in range(i):
+                size = positions[i] - positions[j]
+                if size <= 128:
+                    best[i] = min(best[i], best[j] + (0 if size >= 64 and not size & (size - 1) else 128 - size) + penalties[i] + packing.SEQUENCE_COST)
+        assert cost(packing.choose_cuts(positions, penalties, 128)) == pytest.approx(best[14])
+
+
+def test_token_counts(docs):
+    t = tokenizer("byte_bpe_50k.json")
+    for r in token_counts.count_tokens(docs, public.path("byte_bpe_50k.json")).collect():
+        if r["doc_id"] is not None:
+            text = AWKWARD[r["doc_id"]] or ""
+            assert (r["n_bytes"], r["n_tokens"]) == (len(text.encode()), len(t.encode(text, add_special_tokens=False).ids))
+            assert r["over_limit"] == (r["n_tokens"] > 1024)
+
+
+def luhn(d):
+    return sum(int(c) if i % 2 == 0 else (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)[int(c)] for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def identifiers(t):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) < 256 for x in m[0].split("."))]
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 16 <= len(d := re.sub(r"\D", "", m[0])) <= 19 and luhn(d)]
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(re.sub(r"\D", "", m[0])) <= 15]
+    return ",".join("%s:%d:%d" % x for x in out)
+
+
+def test_pii(spark, docs):
+    for r in pii.find_pii(docs).select("doc_id", pii.digest(F.col("base")).alias("s")).collect():
+        assert r["doc_id"] is None or r["s"] == identifiers(AWKWARD[r["doc_id"]] or "")
+    clean = pii.sanitise(docs)
+    assert clean.columns == docs.columns and clean.count() == docs.count()
+    assert "a@b" not in clean.filter("doc_id = 11").first()["text"] and "<CARD>" in clean.filter("doc_id = 11").first()["text"]
+    # a word that stands only beside one address gives it away; common words do not
+    texts = [f"w{i} filler the mail of zanzibaro is who@x.org and more w{i + 100} the" for i in range(6)] + [f"the {i} and is of more mail filler" for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = {s["value"] for r in pii.find_pii(df).collect() for s in r["terms"]}
+    assert "zanzibaro" in words and "the" not in words
+
+
+def test_decontamination(spark):
+    item = [(1, "If Anna has 12 apples and buys 30 kg of flour for Bob then how many apples has Anna now left over"), (1, "If Anna has 12 apples and buys 30 kg of flour for Bob then how many apples has Anna now left over"), (2, "short one"), (3, None)]
+    same = "x y z. If Maria has 77 apples and buys 14 lb of flour for Tom then how many apples has {} now left over ok"
+    rows = [(1, same.format("Maria")), (2, same.format("Peter")), (3, None), (4, "clean text without any such thing in it at all, long enough to have windows"), (5, item[0][1]), (5, item[0][1]), (6, "")]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(item, "item_id long, text string")
+    found = decontamination.find_contamination(d, b)
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(1, 1), (5, 1)}
+    assert sorted(r["doc_id"] for r in decontamination.drop_contaminated(d, b).collect()) == [2, 3, 4, 6]
+    assert decontamination.find_contamination(d, b.limit(0)).count() == 0 == decontamination.find_contamination(d.limit(0), b).count()
+
+
+def test_jaccard_join(spark):
+    r = np.random.RandomState(2)
+    texts = []
+    for _ in range(12):
+        base = [f"w{x}" for x in r.randint(0, 500, 60)]
+        texts.append(" ".join(base))
+        for _ in range(6):
+            other = list(base)
+            for k in r.randint(0, 60, r.randint(0, 4)):
+                other[k] = f"n{r.randint(0, 10**6)}"
+            texts.append(" ".join(other))
+    texts += ["", None, "a b", "A B", "a b c"]
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)})
+    n, label = len(texts), list(range(len(texts)))
+    links = np.array([[i != j and len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+    for _ in range(n):
+        label = [min([label[i], *(label[j] for j in np.flatnonzero(links[i]))]) for i in range(n)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in jaccard_join.jaccard_classes(df).collect()}
+    assert got == {i: (label[i], int(links[i].sum())) for i in range(n)}
+    assert sorted(x["doc_id"] for x in jaccard_join.drop_near_copies(df.union(df)).collect()) == sorted(set(label))
+    assert jaccard_join.jaccard_classes(df.limit(0)).count() == 0
+
+
+def test_toxicity(spark, docs, labels):
+    rows = toxicity.score_toxicity(docs, labels).collect()
+    assert len(rows) == docs.count() and all(0 < r["score"] < 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows if r["doc_id"] is not None)
+    r = np.random.RandomState(3)
+    made = [(i, " ".join(f"w{x}" for x in r.randint(0, 300, 40)) + (" awful scum" if i % 4 == 0 else "")) for i in range(800)]
+    d = spark.createDataFrame(made, "doc_id long, text string")
+    got = toxicity.score_toxicity(d, spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in made], "doc_id long, toxic int"))
+    held = [x for x in got.collect() if x["held_out"]]
+    assert np.mean([x["predicted"] == (x["doc_id"] % 4 == 0) for x in held]) > 0.95
+
+
+def test_quality_model(spark, docs, labels):
+    rows = quality_lm.judge_perplexity(docs, labels).collect()
+    assert len(rows) == docs.count() and all(not r["kept"] for r in rows if r["doc_id"] in (0, 1))
+    r = np.random.RandomState(4)
+    made = [(i, " ".join("".join(r.choice(list("aeinrst"), 5)) for _ in range(40)) if i % 5 else " ".join("#%|$" for _ in range(40)), "en") for i in range(300)]
+    d = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    good = spark.createDataFrame([(i, int(i % 5 > 0)) for i, _, _ in made], "doc_id long, quality int")
+    a = {x["doc_id"]: x["perplexity"] for x in quality_lm.judge_perplexity(d, good).collect()}
+    b = {x["doc_id"]: x["perplexity"] for x in quality_lm.judge_perplexity(d, good, broadcast_rows=0).collect()}
+    assert all(a[i] == pytest.approx(b[i], rel=1e-5) for i in a) and max(a[i] for i in a if i % 5) < min(a[i] for i in a if i % 5 == 0)
+    # probabilities of all bytes after a context add up to one
+    tables, rests = quality_lm.train(d.filter("doc_id % 5 > 0"))
+    look = [[quality_lm.Lookup(*(c.to_numpy() for c in t.toArrow().columns)) for t in part] for part in (tables, rests)]
+    context = int.from_bytes(b"aein", "big")
+    assert np.exp(quality_lm.log_probabilities((context << 8) + np.arange(256), *look)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_quality_rules(docs, labels):
+    for r in quality_rules.judge_quality(docs, labels).collect():
+        if r["doc_id"] is None:
+            continue
+        t = AWKWARD[r["doc_id"]] or ""
+        w, lines = re.findall(r"[^\x20\x09-\x0D]+", t), [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        seen = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        cover = {i + k for i in range(len(w) - 4) if seen[tuple(w[i : i + 5])] > 1 for k in range(5)}
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(cover))
+        assert r["base_failed"] == (len(w) < 10 or 100 * len(cover) > 20 * len(w)) and (not r["kept"] or not r["base_failed"])
+    # Clopper-Pearson: the bound for no event in n is 1 - error ** (1 / n)
+    k = quality_rules.most_rejected(3000, 0.004, 0.001)
+    assert quality_rules.at_most(k, 3000, 0.004) <= 0.001 < quality_rules.at_most(k + 1, 3000, 0.004)
+    assert quality_rules.most_rejected(100, 0.004, 0.001) == -1
+
+
+def test_html(spark):
+    page = "<html><nav><a href=/>Home</a></nav><div class=ad>Buy now</div><article><h1>Head &amp; title</h1><p>First  text\n here, with <b>bold</b>word. It goes on for a while, as prose does.<p>Second <a href=x>link</a> &lt;ok&gt; paragraph of the same article, quite long.</article><div class='comments'><p>nice post</p></div><footer>&copy; me</footer><script>var t='</p>';</script>"
+    rows = spark.createDataFrame([(1, "u", page), (2, None, None), (None, "v", ""), (3, "w", "<p"), (4, "x", "<div>" * 3000)], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in html_text.extract_text(rows).collect()}
+    assert got[1]["text"] == "Head & title First text here, with boldword. It goes on for a while, as prose does. Second link <ok> paragraph of the same article, quite long."
+    assert got[2]["text"] == "" == got[None]["text"] and all(r["n_chars"] == len(r["text"]) for r in got.values())
+
+
+def test_labeller_on_new_pages():
+    model, source, right, total = html_text.train(), html_text.Pages(12345), 0, 0
+    for _ in range(120):
+        _, y, blocks = source.page()
+        x, mask = html_text.padded([html_text.vectors(blocks)])
+        right, total = right + ((model.scores(x, mask)[:, 0] >= 0.5) == np.array(y)).sum(), total + len(y)
+    assert right / total > 0.97
+
+
+def test_chat_format(spark):
+    import json
+
+    calls = {"tool_calls": [{"id": "c2", "name": "add", "arguments": {"b": 2, "a": 1.5}, "after": ["c1"]}, {"id": "c1", "name": "add", "arguments": {"a": 1, "b": "x"}}, {"id": "c3", "name": "sub", "arguments": {}}]}
+    tools = {"tools": [{"name": "add", "parameters": {"required": ["a", "b"], "properties": {"a": {"type": "number"}, "b": {"type": "integer"}}}}]}
+    rows = [(1, 0, "system", json.dumps(tools)), (1, 1, "user", 'hé "x"\n'), (1, 2, "assistant", json.dumps(calls)), (1, 3, "tool", json.dumps({"tool_call_id": "c2", "content": {"z": 1, "a": [1]}})), (1, 4, "tool", json.dumps({"tool_call_id": "zz", "content": "r"})), (None, None, None, None), (2, 0, "user", "{bad"), (2, 0, "user", "{bad")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat_format.format_chats(df).orderBy("conv_id", "order_turn", "order_level", "order_call", "order_part", "turn").collect()
+    own = [r for r in out if r["conv_id"] == 1]
+    assert [(r["kind"], r["status"]) for r in own] == [("tools", "ok"), ("message", "ok"), ("call", "wrong_type"), ("call", "unknown_tool"), ("call", "ok"), ("result", "ok"), ("result", "no_call")]
+    assert own[5]["json"] == '{"content":{"a":[1],"z":1},"id":"c2","role":"tool","type":"result"}'
+    assert own[1]["json"] == json.dumps({"content": 'hé "x"\n', "role": "user"}, ensure_ascii=False, separators=(",", ":"))
+    assert len(out) == 10 and chat_format.format_chats(df.limit(0)).count() == 0
+
+
+def test_empty_tables(docs, labels):
+    none = docs.limit(0)
+    assert packing.pack(none, public.path("word_bpe_49k.json")).count() == 0
+    assert token_counts.count_tokens(none, public.path("byte_bpe_50k.json")).count() == 0
+    assert pii.find_pii(none).count() == 0 == toxicity.score_toxicity(none, labels).count()
+    assert quality_lm.judge_perplexity(none, labels).count() == 0 == quality_rules.judge_quality(none, labels.limit(0)).count()
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, d, sf).checkpoint()
+        assert after.columns == d.columns and 0 < after.count() <= d.count(), name
+        d = after
+    rows = corpus_pipeline.STAGES[-1][1](spark, d, sf)
+    assert rows.select("doc_id").distinct().count() == d.select("doc_id").distinct().count()
