@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
+from seqlake.functions.model import Corruption
+
 
 class Store:
     """A folder, by way of Hadoop's file systems."""
@@ -11,7 +16,10 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.jvm = spark.sparkContext._jvm
         self.root = root.rstrip("/")
-        self.fs = self.path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self.fs = self.path("").getFileSystem(conf)
+        self.files = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.makeQualified(self.path("")).toUri(), conf)
+        self.no_overwrite = spark.sparkContext._gateway.new_array(getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
 
     def path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
@@ -31,21 +39,39 @@ class Store:
         stream = self.fs.open(self.path(name))
         try:
             return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        except Py4JJavaError as e:
+            if "ChecksumException" in str(e.java_exception):
+                raise Corruption(f"{name} is damaged") from e
+            raise
         finally:
             stream.close()
 
     def create(self, name: str, text: str) -> bool:
-        """Writes a new file, whole or not at all; False if there is one already."""
+        """Writes a new file, whole or not at all; False if there is one already.
+
+        A writer that dies leaves a file under another name. The file system decides who is first;
+        a local one only where the writers are not within the same moment.
+        """
         if self.exists(name):
             return False
+        draft = f"{name}.{uuid.uuid4().hex}.draft"
+        stream = self.fs.create(self.path(draft), False)
+        stream.write(text.encode())
+        stream.close()
+        if self.move(draft, name):
+            return True
+        self.remove(draft)
+        return False
+
+    def move(self, name: str, to: str) -> bool:
+        """Renames a file; False if there is one of that name already."""
+        source, target = (self.fs.makeQualified(self.path(n)) for n in (name, to))
         try:
-            stream = self.fs.create(self.path(name), False)
-        except Exception as e:  # another writer was first
-            if "FileAlreadyExists" in str(e):
+            self.files.rename(source, target, self.no_overwrite)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception):
                 return False
             raise
-        stream.write(text.encode())
-        stream.close()
         return True
 
     def size(self, name: str) -> int:
