@@ -183,6 +183,17 @@ class Tokens:
             yield ids[a:b], stop[till[r] : till[r + 1]] - a
 
 
+READY: dict[str, Tokens] = {}
+
+
+def tokens_of(path: str) -> Tokens:
+    """The tokens of a file, kept by a worker for its next tasks: their words are mostly the same. One file at a time."""
+    if path not in READY:
+        READY.clear()
+        READY[path] = Tokens(path)
+    return READY[path]
+
+
 class Packer:
     """Takes documents in order and gives the rows of finished sequences."""
 
@@ -263,7 +274,7 @@ def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        tokens, packer = Tokens(tokenizer), Packer((task.partitionId() if task else 0) << 40, capacity)
+        tokens, packer = tokens_of(tokenizer), Packer((task.partitionId() if task else 0) << 40, capacity)
         for batch in slices(batches, "text", 8 << 20):
             out = []
             for doc, (ids, ends) in zip(batch.column("id").to_pylist(), tokens(texts_of(batch)), strict=True):
