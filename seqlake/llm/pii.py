@@ -1,15 +1,17 @@
 """Personal data: direct identifiers, and the terms around them that give them away.
 
 Direct identifiers (e-mail and IP addresses, card and phone numbers) are found by patterns and
-checks. Terms near an identifier are then weighed over the corpus: with P(c) the share of all term
-occurrences that lie in a context of identifier c, and P(c|t) that share among the occurrences of term
-t, the pointwise mutual information log P(c|t) / P(c) cannot exceed the information -log P(c) of
-the identifier itself. Where it reaches `GENERALISE` of it, the term's occurrences beside c are
-replaced by a general one; from `REMOVE` on they are removed. Only terms seen beside c in `LEAST_TEXTS`
-different texts count.
-
-All of it is DataFrame operations. Counts are added up before each shuffle, and the join that
-brings decisions back to occurrences is salted, since one identifier may fill a large part of them.
+checks. Terms are then weighed over the corpus, a whole text being the context: with P(c) the share of
+texts that hold identifier c, and P(c|t) that share among the texts that hold term t, the pointwise mutual
+information log P(c|t) / P(c) cannot exceed the information -log P(c) of the identifier itself. P(c|t)
+is smoothed towards P(c) by `SMOOTHING` texts, so that a term seen in one text counts, but for less than one seen
+with c in many. Where the information reaches `GENERALISE` of the identifier's, the term is replaced by a general one
+wherever it stands, in every text; from `REMOVE` on it is removed. An identifier that all texts hold says nothing.
+
+All of it is DataFrame operations. Counts are added up before each shuffle. Lists of terms and identifiers are
+broadcast up to `BROADCAST_ROWS` rows; beyond, they are joined with the other side's salted rows, since one
+term or identifier may fill a large part of them. Of all words only those that pass a bitmap of the chosen
+terms are shuffled then.
 """
 
 from __future__ import annotations
@@ -18,10 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .jaccard_join import row_key
+from .words import durable
 
-CONTEXT = 100  # characters on either side
-GENERALISE, REMOVE, LEAST_TEXTS = 0.8, 0.95, 3
-SALTS = 64
+GENERALISE, REMOVE, SMOOTHING = 0.8, 0.95, 1.0
+BROADCAST_ROWS = 200_000
+SALTS, BITMAP_BITS = 16, 25
 KINDS = ("email", "ip", "card", "phone")
 REPLACEMENTS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "general": "<TERM>", "remove": ""}
 
@@ -39,7 +42,7 @@ TERM = r"[\p{L}\p{N}]{3,}"
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
-def found(text: Column, pattern: str, kind: str, value=lambda hit: hit) -> Column:
+def found(text: Column, pattern: str | Column, kind: str, value=lambda hit: hit) -> Column:
     """The matches of a pattern with their places, in code points, end exclusive."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
@@ -82,56 +85,91 @@ def base_spans(text: Column) -> Column:
     return F.concat(email, ip, card, phone)
 
 
-def contexts(text: Column, base: Column) -> Column:
-    """Terms within CONTEXT characters of an identifier and outside all of them, with it."""
+def blanked(text: Column, base: Column) -> Column:
+    """The text with spaces in the place of identifiers, as long as it was."""
+    order = F.array_sort(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+
+    def step(acc: Column, s: Column) -> Column:
+        begin = F.greatest(acc["at"], s["start"])
+        parts = F.concat(acc["parts"], F.array(F.substr(text, acc["at"] + 1, begin - acc["at"]), F.repeat(F.lit(" "), F.greatest(s["end"] - begin, F.lit(0)))))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), parts.alias("parts"))
+
+    whole = F.aggregate(order, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")), step)
+    return F.concat(F.array_join(whole["parts"], ""), F.substr(text, whole["at"] + 1, F.length(text)))
+
+
+def surfaces(text: Column) -> Column:
+    """The different terms of a text as they are written."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
+
+
+def terms_in(text: Column) -> Column:
+    return F.array_distinct(F.transform(surfaces(text), F.lower))
+
+
+def listed(left: DataFrame, few: DataFrame, on: str, broadcast_rows: int) -> DataFrame:
+    """left joined with a durable list of different values of a column."""
+    if few.count() <= broadcast_rows:
+        return left.join(F.broadcast(few), on)
+    salted = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn("salt", F.floor(F.rand(7) * SALTS).cast("int")).join(salted, [on, "salt"]).drop("salt")
 
-    def around(span: Column) -> Column:
-        begin = F.greatest(span["start"] - CONTEXT, F.lit(0))
-        left = F.substr(text, begin + 1, span["start"] - begin)
-        right = F.substr(text, span["end"] + 1, F.lit(CONTEXT))
-        both = F.concat(
-            F.transform(found(left, TERM, "t", F.lower), lambda t: F.struct((t["start"] + begin).alias("start"), (t["end"] + begin).alias("end"), t["value"].alias("term"))),
-            F.transform(found(right, TERM, "t", F.lower), lambda t: F.struct((t["start"] + span["end"]).alias("start"), (t["end"] + span["end"]).alias("end"), t["value"].alias("term"))),
-        )
-        # a word that the context cuts off is no term
-        whole = F.filter(both, lambda t: ((t["start"] > begin) | (t["start"] == 0)) & (t["end"] < span["end"] + CONTEXT))
-        free = F.filter(whole, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-        return F.transform(free, lambda t: F.struct(F.concat(span["kind"], F.lit(":"), span["value"]).alias("entity"), t["term"].alias("term"), t["start"].alias("start"), t["end"].alias("end")))
 
-    return F.array_distinct(F.flatten(F.transform(base, around)))
+def passing(written: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of written whose term is in a bitmap of those of chosen: all that are chosen, and some that are not."""
+    cell = F.xxhash64("term").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+    set_ = chosen.select(cell.alias("cell")).groupBy(F.shiftright("cell", 6).alias("id")).agg(F.expr("bit_or(shiftleft(1L, cast(cell & 63 as int)))").alias("word"))
+    every = written.sparkSession.range(1 << (BITMAP_BITS - 6)).join(set_, "id", "left").agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("word", F.lit(0).cast("long")).alias("word"))))["word"].alias("bits"))
+    hit = F.bit_get(F.get("bits", F.shiftright(cell, 6).cast("int")), cell.bitwiseAND(F.lit(63)).cast("int")) == 1
+    return written.join(F.broadcast(durable(every)), hit).drop("bits")  # one row
 
 
-def decisions(near: DataFrame, texts: DataFrame, generalise: float, remove: float, least_texts: int) -> DataFrame:
-    """term, entity and kind ('general' or 'remove') of the terms that disclose too much."""
-    joint = near.groupBy("term", "entity", "text_hash").agg(F.count("*").alias("n")).groupBy("term", "entity").agg(F.sum("n").alias("joint"), F.count("*").alias("texts"))
-    slots = near.groupBy("entity").agg(F.count("*").alias("slots"))
-    words = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term")).groupBy("term").agg(F.count("*").alias("seen"))
-    total = texts.agg(F.sum(F.regexp_count("text", F.lit(TERM))).alias("total"))
-    weighed = joint.filter(F.col("texts") >= least_texts).join(slots, "entity").join(words, "term").crossJoin(F.broadcast(total))  # one row
-    information = F.greatest(-F.log(F.col("slots") / F.col("total")), F.lit(1e-9))
-    disclosed = 1 + F.log(F.least(F.col("joint") / F.col("seen"), F.lit(1.0))) / information
-    return weighed.withColumn("disclosed", disclosed).filter(F.col("disclosed") >= generalise).select("term", "entity", F.when(F.col("disclosed") >= remove, "remove").otherwise("general").alias("kind"))
+def decisions(marked: DataFrame, texts: DataFrame, n_texts: int, generalise: float, remove: float, smoothing: float, broadcast_rows: int) -> DataFrame:
+    """term and kind ('general' or 'remove') of the terms that disclose too much, of texts and those of them (marked) with entities."""
+    entities = durable(marked.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("held")).filter(F.col("held") < n_texts))
+    ends = entities.agg(F.min("held").alias("low"), F.max("held").alias("high")).first()
+    low, high = ((ends[k] or 0) / n_texts if n_texts else 0.0 for k in ("low", "high"))
+    words = texts.select(F.explode(terms_in(F.col("free"))).alias("term")).groupBy("term").agg(F.count("*").alias("seen"))
+    beside = marked.select("entities", F.explode(terms_in(F.col("free"))).alias("term"))
+    # no entity can be told from a term that falls short of the lowest bound with all texts that hold it and any entity
+    could = beside.groupBy("term").agg(F.count("*").alias("most")).join(words, "term").filter((F.col("most") + smoothing * high) / (F.col("seen") + smoothing) >= low ** (1 - generalise) * (1 - 1e-9))
+    near = listed(beside, durable(could.select("term", "seen")), "term", broadcast_rows)
+    joint = near.select("term", "seen", F.explode("entities").alias("entity")).groupBy("term", "seen", "entity").agg(F.count("*").alias("joint"))
+    weighed = listed(joint, entities, "entity", broadcast_rows)
+    p = F.col("held") / n_texts
+    disclosed = 1 + F.log((F.col("joint") + smoothing * p) / (F.col("seen") + smoothing)) / -F.log(p)
+    told = weighed.withColumn("disclosed", disclosed).filter(F.col("disclosed") >= generalise)
+    # of several decisions on one term the stricter holds
+    return told.groupBy("term").agg(F.when(F.max("disclosed") >= remove, "remove").otherwise("general").alias("kind"))
 
 
-def find_pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", generalise: float = GENERALISE, remove: float = REMOVE, least_texts: int = LEAST_TEXTS) -> DataFrame:
+def find_pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", generalise: float = GENERALISE, remove: float = REMOVE, smoothing: float = SMOOTHING, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per row of docs: key, doc_id, base and terms, arrays of spans (kind, start, end, value).
 
     Places count code points, end exclusive. base holds direct identifiers by kind, then place; terms
-    holds disclosing terms by kind, then place, each outside all identifiers. A null text has neither.
-    Null ids stay null. Repeated rows share a key and get the same spans; the text counts as one text
-    in the least number of texts. An empty table gives no rows; other columns are ignored.
+    holds all occurrences of disclosing terms by kind, then place, each outside all identifiers; a text without
+    identifiers may have some. A null text has neither. Null ids stay null. Repeated rows share a key and get the
+    same spans; each counts as a text. An empty table gives no rows; other columns are ignored.
     """
     plain = docs.select(row_key(docs[id_column], docs[text_column]).alias("key"), docs[id_column].cast("long").alias("doc_id"), F.coalesce(docs[text_column].cast("string"), F.lit("")).alias("text"))
     rows = plain.withColumn("base", base_spans(F.col("text")))
-    some = rows.filter(F.size("base") > 0).dropDuplicates(["key"])
-    near = some.select("key", F.xxhash64("text").alias("text_hash"), F.explode(contexts(F.col("text"), F.col("base"))).alias("c")).select("key", "text_hash", "c.*")
-    chosen = decisions(near, plain, generalise, remove, least_texts)
-    salted = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    told = near.withColumn("salt", F.pmod(F.col("key"), F.lit(SALTS)).cast("int")).join(salted, ["term", "entity", "salt"])
-    # of several decisions on one occurrence the stricter holds
-    once = told.groupBy("key", "start", "end").agg(F.max("kind").alias("kind"), F.first("term").alias("value"))
-    terms = once.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end", "value"))).alias("terms"))
-    return rows.select("key", "doc_id", "base").join(terms, "key", "left").withColumn("terms", F.coalesce("terms", F.array().cast(SPAN)))
+    rows = rows.withColumn("free", F.when(F.size("base") > 0, blanked(F.col("text"), F.col("base"))).otherwise(F.col("text"))).drop("text")
+    named = F.array_distinct(F.transform("base", lambda s: F.concat(s["kind"], F.lit(":"), s["value"])))
+    marked = durable(rows.filter(F.size("base") > 0).select("free", named.alias("entities")))
+    chosen = durable(decisions(marked, rows, plain.count(), generalise, remove, smoothing, broadcast_rows))
+    written = rows.select("key", F.explode(surfaces(F.col("free"))).alias("surface")).withColumn("term", F.lower("surface"))
+    if chosen.count() > broadcast_rows:
+        written = passing(written, chosen)
+    hits = listed(written, chosen, "term", broadcast_rows).groupBy("key").agg(F.collect_set(F.struct("kind", "surface")).alias("hits"))
+    met = rows.join(hits.hint("shuffle_hash"), "key", "left")
+
+    def places(kind: str) -> Column:
+        any_of = F.array_join(F.transform(F.filter("hits", lambda h: h["kind"] == kind), lambda h: h["surface"]), "|")
+        pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), any_of, F.lit(r")(?![\p{L}\p{N}])"))
+        return F.when(F.length(any_of) > 0, found(F.col("free"), pattern, kind, F.lower)).otherwise(F.array().cast(SPAN))
+
+    terms = F.when(F.col("hits").isNotNull(), F.concat(places("general"), places("remove"))).otherwise(F.array().cast(SPAN))
+    return met.select("key", "doc_id", "base", terms.alias("terms"))
 
 
 def digest(spans: Column) -> Column:

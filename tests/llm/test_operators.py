@@ -111,6 +111,18 @@ def test_pii(spark, docs):
     assert "zanzibaro" in words and "the" not in words
 
 
+def test_pii_terms_of_rare_identifiers(spark):
+    # an address in one text alone; its term far from it and in a text that does not name it goes too
+    texts = ["Zanzibaro the " + "filler and more of mail is the " * 9 + "who@x.org", "the ZANZIBARO is more", *(f"the {i} and is of more mail filler" for i in range(300))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {(0, 0, 9), (1, 4, 13)}
+    for limit in (pii.BROADCAST_ROWS, 0):
+        found = pii.find_pii(df, generalise=0.75, broadcast_rows=limit).collect()
+        assert {(r["doc_id"], s["start"], s["end"]) for r in found for s in r["terms"]} == want
+    one = spark.createDataFrame([(0, "words beside who@x.org alone")], "doc_id long, text string")
+    assert pii.sanitise(one).first()["text"] == "words beside <EMAIL> alone"
+
+
 def test_decontamination(spark):
     item = [(1, "If Anna has 12 apples and buys 30 kg of flour for Bob then how many apples has Anna now left over"), (1, "If Anna has 12 apples and buys 30 kg of flour for Bob then how many apples has Anna now left over"), (2, "short one"), (3, None)]
     same = "x y z. If Maria has 77 apples and buys 14 lb of flour for Tom then how many apples has {} now left over ok"
