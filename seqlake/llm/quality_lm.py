@@ -5,7 +5,9 @@ The model is an interpolated modified Kneser-Ney model over the bytes of UTF-8 t
 Counts come from all trusted documents: tasks count their own n-grams, a shuffle by n-gram adds them
 up, and joins between the count tables of neighbouring orders, sharded by n-gram, give continuation
 counts, discounts, back-off weights and interpolated probabilities. A document's perplexity is held
-against a quantile of trusted held-out documents of its language.
+against that of trusted held-out documents of its language: the limit lies some median absolute deviations
+of the logarithms above their median, so one odd trusted text does not move it. How many follows from
+held-out rows labelled good and bad.
 
 The tables go to the scoring tasks as a broadcast while they have at most `BROADCAST_ROWS` rows.
 Beyond that, documents' n-grams are joined with the sharded tables instead.
@@ -25,7 +27,9 @@ from .jaccard_join import row_key
 from .words import durable, mixed, slices, texts_of
 
 ORDER = 5
-QUANTILE, MARGIN = 0.995, 1.05
+QUANTILE, MARGIN = 0.995, 1.05  # without labelled bad rows
+DEVIATIONS, LEAST_SPREAD, LEAST_BAD = [0.5 * k for k in range(4, 61)], 0.01, 20
+USUAL_DEVIATIONS = 6.0
 BROADCAST_ROWS = 6_000_000
 BROADCAST_IDS = 2_000_000
 LEAST_LABELS, MAX_LANGUAGES = 50, 64
@@ -199,31 +203,66 @@ def held_out(id_column: Column) -> Column:
     return F.crc32(id_column.cast("string").cast("binary")) % 5 == 0
 
 
+def thresholds(sample: DataFrame, quantile: float, margin: float) -> dict[str | None, float]:
+    """Limits by language, None for all others, from held-out rows (language, label, perplexity, x, its logarithm).
+
+    With 20 rows labelled 0, the deviations that keep the smallest share of bad rows and reject the smallest
+    share of good ones, both shares added, hold for all languages. With fewer: `margin` times the quantile, or,
+    where that would be the largest value, the usual deviations.
+    """
+    fine = sample.filter("label = 1")
+    half = lambda x: F.percentile_approx(x, 0.5, 100_000)
+    figures = [F.count("*").alias("n"), half(F.col("x")).alias("mid"), F.percentile_approx("perplexity", quantile, 100_000).alias("top")]
+    found = {None: fine.agg(*figures).first()}
+    if not found[None]["n"]:
+        return {}
+    found |= {r["language"]: r for r in fine.groupBy("language").agg(*figures).filter(F.col("n") >= LEAST_LABELS).orderBy(F.desc("n"), "language").limit(MAX_LANGUAGES).collect()}
+
+    def of_language(values: dict[str | None, float]) -> Column:
+        out = F.lit(values[None])
+        for language, value in values.items():
+            out = out if language is None else F.when(F.col("language") == language, F.lit(value)).otherwise(out)
+        return out
+
+    mid = {k: r["mid"] for k, r in found.items()}
+    away = fine.withColumn("away", F.abs(F.col("x") - of_language(mid)))
+    spread = {None: fine.agg(half(F.abs(F.col("x") - mid[None])).alias("s")).first()["s"]}
+    spread |= {r["language"]: r["s"] for r in away.filter(F.col("language").isin([k for k in mid if k is not None])).groupBy("language").agg(half(F.col("away")).alias("s")).collect()}
+    spread = {k: max(v, LEAST_SPREAD) for k, v in spread.items()}
+    z = (F.col("x") - of_language(mid)) / of_language(spread)
+    wrong = [F.sum(((F.col("label") == 1) & (z > k)).cast("long")).alias(f"good_{i}") for i, k in enumerate(DEVIATIONS)]
+    wrong += [F.sum(((F.col("label") == 0) & (z <= k)).cast("long")).alias(f"bad_{i}") for i, k in enumerate(DEVIATIONS)]
+    r = sample.agg(F.sum((F.col("label") == 0).cast("long")).alias("n_bad"), *wrong).first()
+    if r["n_bad"] >= LEAST_BAD:
+        errors = [r[f"good_{i}"] / found[None]["n"] + r[f"bad_{i}"] / r["n_bad"] for i in range(len(DEVIATIONS))]
+        chosen = max(k for k, e in zip(DEVIATIONS, errors, strict=True) if e == min(errors))
+        return {k: math.exp(mid[k] + chosen * spread[k]) for k in found}
+    return {k: float(f["top"]) * margin if f["n"] * (1 - quantile) >= 1 else math.exp(mid[k] + USUAL_DEVIATIONS * spread[k]) for k, f in found.items()}
+
+
 def judge_perplexity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", language_column: str = "lang", label_column: str = "quality", quantile: float = QUANTILE, margin: float = MARGIN, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per row of docs: key, doc_id, language, n_bytes, perplexity (per byte), threshold, kept.
 
     Trusted text is that of rows labelled 1; a fifth of them, by crc32 of the id, is held out of the
-    model and gives the thresholds: `margin` times the quantile of a language's perplexities, or of all if
-    it has fewer than 50 held-out rows (or none in the 64 most frequent languages). Texts without bytes
+    model and gives the thresholds of `thresholds`, of a language or of all if it has fewer than 50 held-out
+    rows (or is none of the 64 most frequent languages). Rows labelled 0 help to choose them, if held out too. Texts without bytes
     (null too) have no perplexity and go; without any trusted text, all others stay. A null language reads ''.
     Null labels are not used; of several labels for one id the least holds. Repeated rows are
     judged alike. An empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(row_key(docs[id_column], docs[text_column]).alias("key"), docs[id_column].cast("long").alias("doc_id"), F.coalesce(docs[language_column].cast("string"), F.lit("")).alias("language"), docs[text_column].cast("string").alias("text"))
-    good = labels.select(F.col(id_column).cast("long").alias("doc_id"), F.col(label_column).cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.min("label").alias("label")).filter("label = 1").select("doc_id")
+    known = labels.select(F.col(id_column).cast("long").alias("doc_id"), F.col(label_column).cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.min("label").alias("label"))
+    good = known.filter("label = 1").select("doc_id")
     small = good.count() <= BROADCAST_IDS
     trusted = rows.join(F.broadcast(good) if small else good.hint("shuffle_hash"), "doc_id").filter(~held_out(F.col("doc_id")))
     tables, rests = train(trusted)
     size = sum(t.count() for t in [*tables, *rests])
     scored = (score_broadcast if size <= broadcast_rows else score_joined)(rows, tables, rests)
     scored = durable(scored.withColumn("perplexity", F.when(F.col("n_bytes") > 0, F.exp(-F.col("log_p") / F.col("n_bytes")))))
-    sample = scored.filter(held_out(F.col("doc_id")) & F.col("perplexity").isNotNull()).join(good, "doc_id")
-    at = F.percentile_approx("perplexity", quantile, 100_000)
-    overall = sample.agg(at.alias("at")).first()["at"]
-    strata = sample.groupBy("language").agg(F.count("*").alias("n"), at.alias("at")).filter(F.col("n") >= LEAST_LABELS).orderBy(F.desc("n"), "language").limit(MAX_LANGUAGES).collect()
-    limit = F.lit(None if overall is None else float(overall) * margin).cast("double")
-    for r in strata:
-        limit = F.when(F.col("language") == r["language"], F.lit(float(r["at"]) * margin)).otherwise(limit)
+    limit = F.lit(None).cast("double")
+    sample = durable(scored.filter(held_out(F.col("doc_id")) & F.col("perplexity").isNotNull()).join(known, "doc_id").select("language", "label", "perplexity", F.log("perplexity").alias("x")))
+    for language, value in sorted(thresholds(sample, quantile, margin).items(), key=lambda v: v[0] is not None):
+        limit = F.lit(value) if language is None else F.when(F.col("language") == language, F.lit(value)).otherwise(limit)
     judged = scored.withColumn("threshold", limit)
     kept = F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
     return judged.select("key", "doc_id", "language", "n_bytes", "perplexity", "threshold", kept.alias("kept"))

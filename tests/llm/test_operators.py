@@ -190,6 +190,18 @@ def test_quality_model(spark, docs, labels):
     assert np.exp(quality_lm.log_probabilities((context << 8) + np.arange(256), *look)).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_odd_trusted_text_does_not_set_the_limit(spark):
+    r = np.random.RandomState(4)
+    text = lambda letters: " ".join("".join(r.choice(list(letters), 5)) for _ in range(40))
+    odd = next(i for i in range(600) if i % 4 and zlib.crc32(str(i).encode()) % 5 == 0)
+    made = [(i, "#%|$ " * 40 if i == odd else text("aeinrst" if i % 4 else "aeinrstbcdfgklmopuvw"), "en") for i in range(600)]
+    d = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    for labelled in (made, [m for m in made if m[0] % 4]):
+        labels = spark.createDataFrame([(m[0], int(m[0] % 4 > 0)) for m in labelled], "doc_id long, quality int")
+        kept = {x["doc_id"]: x["kept"] for x in quality_lm.judge_perplexity(d, labels).collect()}
+        assert not any(kept[i] for i in kept if i % 4 == 0) and np.mean([kept[i] for i in kept if i % 4]) > 0.95
+
+
 def test_quality_rules(docs, labels):
     for r in quality_rules.judge_quality(docs, labels).collect():
         if r["doc_id"] is None:
