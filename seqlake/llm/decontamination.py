@@ -2,8 +2,8 @@
 
 Texts are read as templates: numbers, names (capitalised words inside a sentence) and units become
 typed placeholders. Runs of `WINDOW` template words are hashed and hash-joined with those of the
-benchmark; the values that stood in the slots must then map one to one between the two texts, over
-all windows of one alignment. A second stream of windows over the plain lower-cased words finds
+benchmark; each benchmark value in a slot must then map to one value of the document, over
+all windows of one alignment; where it does not, only the windows without slots count. A second stream of windows over the plain lower-cased words finds
 copies whose capitals or full stops were changed.
 
 Documents are first held against a bitmap of the benchmark's hashes, whose size is fixed; only
@@ -117,7 +117,7 @@ def window_rows(df: DataFrame, bitmap: np.ndarray | None) -> DataFrame:
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", least_share: float = LEAST_SHARE) -> DataFrame:
     """One row per contaminated row of docs and benchmark item: key, doc_id, item_id, windows, share, first_word, last_word.
 
-    share: of the item's windows, those found in the document with consistent slots; rows below
+    share: of the item's windows, those found in the document word for word or with consistent slots; rows below
     least_share are left out. Words count from 0, last_word included. Null texts match nothing, nor do texts or
     items of fewer than 8 words. A null id stays null. Repeated rows share a key and give one row for each
     item; repeated items count once, by id. Empty tables give no rows; other columns are ignored.
@@ -138,9 +138,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "
         pairs = ours.withColumn("salt", F.pmod(F.xxhash64("key", "at"), F.lit(SALTS)).cast("int")).join(salted, ["hash", "salt"])
     # windows of one alignment share at - item_at
     pairs = pairs.select("key", "doc_id", "item_id", "item_words", "at", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.arrays_zip(F.col("item_slots").alias("theirs"), F.col("slots").alias("ours")).alias("slots"))
-    aligned = pairs.groupBy("key", "doc_id", "item_id", "item_words", "shift").agg(F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"), F.min("at").alias("low"), F.max("at").alias("high"))
-    one_to_one = (F.size(F.array_distinct(F.col("slots.theirs"))) == F.size("slots")) & (F.size(F.array_distinct(F.col("slots.ours"))) == F.size("slots"))
-    consistent = aligned.filter(one_to_one)
+    exact = F.size("slots") == 0  # word for word, or nothing to fill in
+    ends = [F.min("at").alias("low"), F.max("at").alias("high"), F.min(F.when(exact, F.col("at"))).alias("exact_low"), F.max(F.when(exact, F.col("at"))).alias("exact_high")]
+    aligned = pairs.groupBy("key", "doc_id", "item_id", "item_words", "shift").agg(F.collect_set("item_at").alias("places"), F.collect_set(F.when(exact, F.col("item_at"))).alias("exact_places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"), *ends)
+    one_value = F.size(F.array_distinct(F.col("slots.theirs"))) == F.size("slots")
+    consistent = aligned.select("key", "doc_id", "item_id", "item_words", *[F.when(one_value, F.col(c)).otherwise(F.col(f"exact_{c}")).alias(c) for c in ("places", "low", "high")]).filter(F.size("places") > 0)
     found = consistent.groupBy("key", "doc_id", "item_id", "item_words").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("windows"), F.min("low").alias("first_word"), (F.max("high") + WINDOW - 1).alias("last_word"))
     found = found.withColumn("share", F.col("windows") / (F.col("item_words") - (WINDOW - 1))).filter(F.col("share") >= least_share)
     return found.select("key", "doc_id", "item_id", "windows", "share", "first_word", "last_word")

@@ -134,6 +134,13 @@ def test_decontamination(spark):
     assert decontamination.find_contamination(d, b.limit(0)).count() == 0 == decontamination.find_contamination(d.limit(0), b).count()
 
 
+def test_decontamination_with_one_other_value(spark):
+    text = "If Anna has 12 apples and buys 30 more of these for her old aunt then how many apples in all has Anna now left over for baking a large cake"
+    rows = [(1, text.replace("has Anna now", "has Anne now")), (2, text.replace("12", "4").replace("30", "4"))]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, text)], "item_id long, text string")
+    assert {r["doc_id"] for r in decontamination.find_contamination(d, b).collect()} == {1, 2}
+
+
 def test_jaccard_join(spark):
     r = np.random.RandomState(2)
     texts = []
