@@ -21,10 +21,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import durable, hashed, mixed, slices, split_words, texts_of, windows
+from .words import durable, hashed, mixed, row_key, slices, split_words, texts_of, windows, with_row_key
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
 TREES, DEEPEST, FIRST_TREES = 40, 9, 8
@@ -89,11 +89,6 @@ def set_hash(shingles: np.ndarray) -> int:
     return int(mixed(sums * np.array([3, 5, 7], np.uint64)).sum(dtype=np.uint64).astype(np.int64))
 
 
-def row_key(id_column: Column, text_column: Column) -> Column:
-    """A key of a row by its id and text; equal rows share it."""
-    return F.xxhash64(id_column, text_column)
-
-
 def sketches(docs: DataFrame, depth: int) -> DataFrame:
     """key, doc_id, set (its hash), prefixes of each row of (key, doc_id, text)."""
 
@@ -279,6 +274,8 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str
 def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs without all but one row of each class: the one with the least id."""
     classes = jaccard_classes(docs, id_column, text_column, threshold, count_links=False)
-    heads = classes.filter("key = class_first").select(F.col("key").alias("__key")).distinct()
-    keyed = docs.withColumn("__key", row_key(docs[id_column], docs[text_column]))
-    return keyed.join(heads.hint("shuffle_hash"), "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    keyed, key, own = with_row_key(docs, id_column, text_column)
+    heads = classes.filter("key = class_first and doc_id <=> class_id").select(F.col("key").alias(f"{key}2"), F.col("doc_id").alias(f"{own}2")).distinct()
+    same = (F.col(key) == F.col(f"{key}2")) & F.col(own).eqNullSafe(F.col(f"{own}2"))
+    kept = keyed.join(heads.hint("shuffle_hash"), same, "left_semi")
+    return kept.dropDuplicates([key, own]).drop(key, own)

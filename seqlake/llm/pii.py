@@ -19,8 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .jaccard_join import row_key
-from .words import durable
+from .words import durable, row_key, spare, with_row_key
 
 GENERALISE, REMOVE, SMOOTHING = 0.8, 0.95, 1.0
 BROADCAST_ROWS = 200_000
@@ -193,7 +192,9 @@ def replaced(text: Column, spans: Column) -> Column:
 def sanitise(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs with all spans replaced in the text column; rows and other columns as they were. A null text stays null."""
     found_in = find_pii(docs, id_column, text_column)
-    spans = found_in.filter((F.size("base") > 0) | (F.size("terms") > 0)).dropDuplicates(["key"]).select(F.col("key").alias("__key"), F.concat("base", "terms").alias("__spans"))
-    keyed = docs.withColumn("__key", row_key(docs[id_column], docs[text_column])).join(spans.hint("shuffle_hash"), "__key", "left")
-    text = F.when(F.col("__spans").isNull(), F.col(text_column)).otherwise(replaced(F.col(text_column), F.col("__spans")))
-    return keyed.withColumn(text_column, text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed, key, own = with_row_key(docs, id_column, text_column)
+    spans = found_in.filter((F.size("base") > 0) | (F.size("terms") > 0)).dropDuplicates(["key", "doc_id"]).select(F.col("key").alias(f"{key}2"), F.col("doc_id").alias(f"{own}2"), F.concat("base", "terms").alias(spare(keyed, "row_spans")))
+    same = (F.col(key) == F.col(f"{key}2")) & F.col(own).eqNullSafe(F.col(f"{own}2"))
+    found_spans = F.col(spare(keyed, "row_spans"))
+    text = F.when(found_spans.isNull(), F.col(f"`{text_column}`")).otherwise(replaced(F.col(f"`{text_column}`"), found_spans))
+    return keyed.join(spans.hint("shuffle_hash"), same, "left").withColumn(text_column, text).select(*[F.col(f"`{c}`") for c in docs.columns])

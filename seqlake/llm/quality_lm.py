@@ -23,8 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .jaccard_join import row_key
-from .words import durable, mixed, slices, texts_of
+from .words import durable, mixed, row_key, rows_with, slices, texts_of
 
 ORDER = 5
 QUANTILE, MARGIN = 0.995, 1.05  # without labelled bad rows
@@ -271,6 +270,4 @@ def judge_perplexity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_i
 def drop_low_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of docs that the model keeps."""
     judged = judge_perplexity(docs, labels, id_column, text_column)
-    rejected = judged.filter(~F.col("kept")).select(F.col("key").alias("__key")).distinct()
-    keyed = docs.withColumn("__key", row_key(docs[id_column], docs[text_column]))
-    return keyed.join(rejected.hint("shuffle_hash"), "__key", "left_anti").drop("__key")
+    return rows_with(docs, id_column, text_column, judged.filter(~F.col("kept")), "left_anti")

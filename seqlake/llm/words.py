@@ -13,7 +13,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 6 << 20
 
@@ -111,5 +112,40 @@ def durable(df: DataFrame) -> DataFrame:
     """The rows, computed once and kept where all executors and a restarted one can read them."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())  # one process: nobody else needs to see it
     return df.checkpoint(eager=True)
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_key(id_column: Column, text_column: Column) -> Column:
+    """A key of a row by its id and text; equal rows share it."""
+    return F.xxhash64(id_column, text_column)
+
+
+def with_row_key(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, str, str]:
+    """docs with the key and the integer id of each row, under names that are free, and these names."""
+    key = spare(docs, "row_key")
+    keyed = docs.withColumn(key, row_key(docs[id_column], docs[text_column]))
+    own = spare(keyed, "row_id")
+    return keyed.withColumn(own, keyed[id_column].cast("long")), key, own
+
+
+def rows_with(docs: DataFrame, id_column: str, text_column: str, keys: DataFrame, how: str) -> DataFrame:
+    """The rows of docs whose key and id are (left_semi) or are not (left_anti) among keys (key, doc_id).
+
+    Id and hash together tell rows apart: a hash alone repeats among 10**11 rows.
+    """
+    keyed, key, own = with_row_key(docs, id_column, text_column)
+    few = keys.select(F.col("key").alias(f"{key}2"), F.col("doc_id").alias(f"{own}2")).distinct().hint("shuffle_hash")
+    same = (F.col(key) == F.col(f"{key}2")) & F.col(own).eqNullSafe(F.col(f"{own}2"))
+    return keyed.join(few, same, how).drop(key, own)
