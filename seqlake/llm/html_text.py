@@ -28,6 +28,7 @@ PATH, WORDS, FORM = 256, 64, 10
 SIZE = PATH + WORDS + FORM
 HIDDEN = 16
 TRAIN_PAGES, EPOCHS, BATCH, RATE, SEED = 900, 8, 16, 0.02, 5
+GROUP = 8192  # blocks whose vectors are held at a time
 
 # Names of elements.
 SKIPPED = frozenset("script style title noscript template svg iframe object math canvas".split())
@@ -39,11 +40,80 @@ TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|title|noscript|template|svg
 NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PARTS = re.compile(r"[a-z]+")
 
+Block = tuple[int, tuple[str, ...], str, int]
 
-def read_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """Path, text and number of characters inside links of each block, in page order."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+
+@lru_cache(100_000)
+def path_place(name: str) -> int:
+    return zlib.crc32(name.encode()) % PATH
+
+
+class Open:
+    """The elements that are open, the innermost last; every step takes constant time, whatever the depth.
+
+    `places` has a bit for each hashed name of an open element.
+    """
+
+    def __init__(self):
+        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.by_tag: dict[str, list[int]] = {}  # where the open elements of each name stand
+        self.blocks: list[int] = []
+        self.held, self.places = [0] * PATH, 0
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        self.by_tag.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, names))
+        for name in names:
+            k = path_place(name)
+            self.held[k] += 1
+            self.places |= 1 << k
+
+    def cut(self, at: int) -> None:
+        """Closes the elements from a place on."""
+        while len(self.stack) > at:
+            tag, names = self.stack.pop()
+            self.by_tag[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+            for name in names:
+                k = path_place(name)
+                self.held[k] -= 1
+                if not self.held[k]:
+                    self.places ^= 1 << k
+
+    def end(self, tag: str) -> None:
+        """An end tag: the innermost element of the name closes, but an inline one not through a block."""
+        at = self.by_tag.get(tag)
+        if at and (tag in BLOCKS or not self.blocks or self.blocks[-1] < at[-1]):
+            self.cut(at[-1])
+
+    def begins(self, tag: str) -> None:
+        """A block that begins closes what it ends by itself."""
+        closing = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}.get(tag, ())
+        for k in range(len(self.stack) - 1, max(-1, len(self.stack) - 8), -1):
+            if self.stack[k][0] == "p" or self.stack[k][0] in closing:
+                self.cut(k)
+                break
+            if self.stack[k][0] in CLOSES_P:
+                break
+
+    def innermost(self) -> tuple[str, ...]:
+        """The last two names of the path."""
+        if not self.stack:
+            return ()
+        names = self.stack[-1][1]
+        return names[-2:] if len(names) > 1 or len(self.stack) == 1 else (self.stack[-2][1][-1], *names)
+
+
+def read_blocks(page: str) -> list[Block]:
+    """The path (a bit for each hashed name, and the innermost names), text and number of characters inside links of each block, in page order.
+
+    Takes time and memory in proportion to the page, however deeply it is nested.
+    """
+    out: list[Block] = []
+    path = Open()
     parts: list[str] = []
     links = inside = 0
 
@@ -56,18 +126,24 @@ def read_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 text = html.unescape(text)
             text = " ".join(text.split())
             if text:
-                out.append((tuple(n for _, names in stack for n in names), text, links))
+                out.append((path.places, path.innermost(), text, links))
         links = 0
 
-    for m in TOKEN.finditer(page):
+    end = page.rfind(">") + 1  # behind it no tag can be complete; looking for its end from every < would take the square of the page
+    unclosed = False
+    for m in TOKEN.finditer(page, 0, end):
         tag = m.group(3)
         if tag is None:
+            whole = m.group()
             if m.group(1) is None:
-                text = m.group()
-                if text[0] != "<" or len(text) == 1:
-                    parts.append(text)
+                if whole[0] != "<" or len(whole) == 1:
+                    parts.append(whole)
                     if inside:
-                        links += len(text)
+                        links += len(whole)
+                else:
+                    unclosed = whole.startswith("<!--") and not whole.endswith("-->")
+            else:
+                unclosed = "</" not in whole[-len(m.group(1)) - 64 :]
             continue
         tag = tag.lower()
         if m.group(2):
@@ -75,22 +151,12 @@ def read_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 close()
             if tag == "a":
                 inside = max(0, inside - 1)
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if tag in BLOCKS or not any(t in BLOCKS for t, _ in stack[k + 1 :]):
-                        del stack[k:]
-                    break
+            path.end(tag)
             continue
         if tag in BLOCKS:
             close()
             if tag in CLOSES_P:
-                closing = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}.get(tag, ())
-                for k in range(len(stack) - 1, max(-1, len(stack) - 8), -1):
-                    if stack[k][0] == "p" or stack[k][0] in closing:
-                        del stack[k:]
-                        break
-                    if stack[k][0] in CLOSES_P:
-                        break
+                path.begins(tag)
         if tag in VOID or m.group(4).endswith("/"):
             continue
         names = [f"<{tag}>"]
@@ -98,17 +164,21 @@ def read_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             names += PARTS.findall((a or b or c).lower())
         if tag == "a":
             inside += 1
-        stack.append((tag, tuple(names)))
+        path.push(tag, tuple(names))
+    rest = page[end:]
+    if rest and not unclosed:
+        cut = rest.find("<!--")
+        rest = rest if cut < 0 else rest[:cut]
+        parts.append(rest)
+        links += len(rest) if inside else 0
     close()
     return out
 
 
-@lru_cache(100_000)
-def path_vector(path: tuple[str, ...]) -> np.ndarray:
-    v = np.zeros(PATH, np.float32)
-    for name in path[-24:]:
-        v[zlib.crc32(name.encode()) % PATH] = 1.0
-    for name in path[-2:]:  # the innermost names once more, as such
+@lru_cache(20_000)
+def path_vector(places: int, innermost: tuple[str, ...]) -> np.ndarray:
+    v = np.unpackbits(np.frombuffer(places.to_bytes(PATH // 8, "little"), np.uint8), bitorder="little").astype(np.float32)
+    for name in innermost:  # the innermost names once more, as such
         v[zlib.crc32(b"in " + name.encode()) % PATH] = 1.0
     return v
 
@@ -118,18 +188,18 @@ def word_place(word: str) -> int:
     return zlib.crc32(word.lower().strip(".,:;!?").encode()) % WORDS
 
 
-def vectors(blocks: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
+def vectors(blocks: list[Block], first: int = 0, total: int = 0) -> np.ndarray:
+    """A row for each block; first and total: where they stand in a page of which they are a part."""
     out = np.zeros((len(blocks), SIZE), np.float32)
-    for i, (path, text, links) in enumerate(blocks):
-        out[i, :PATH] = path_vector(path)
+    total = total or len(blocks)
+    for i, (places, innermost, text, links) in enumerate(blocks):
+        out[i, :PATH] = path_vector(places, innermost)
         words = text.split()
         n = len(words)
-        if n <= 40:  # single words tell the short blocks apart
-            for w in words:
-                out[i, PATH + word_place(w)] += 1.0 / n
+        out[i, PATH : PATH + WORDS] = np.bincount([word_place(w) for w in words], minlength=WORDS) / n
         out[i, PATH + WORDS :] = (
             np.log1p(n) / 4, min(1.0, links / len(text)), text[-1] in ".!?\"", n <= 3, n <= 10, n >= 40,
-            len(text) / n / 10, i / len(blocks), text.count(",") / n, "|" in text or "©" in text,
+            len(text) / n / 10, (first + i) / total, text.count(",") / n, "|" in text or "©" in text,
         )
     return out
 
@@ -149,10 +219,12 @@ class Labeller:
             "o": (r.randn(2 * HIDDEN) * 0.2).astype(np.float32), "p": np.zeros(1, np.float32),
         }
 
-    def _direction(self, x: np.ndarray, mask: np.ndarray, d: str, keep: list | None) -> np.ndarray:
+    def _direction(self, x: np.ndarray, mask: np.ndarray, d: str, keep: list | None, state: list | None = None) -> np.ndarray:
+        """The hidden states; `state` carries the last one from a part of a page to the next."""
         steps, n, _ = x.shape
         inputs = x @ self.w["x" + d] + self.w["c" + d]
-        h, c, out = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32), np.zeros((steps, n, HIDDEN), np.float32)
+        h, c = state or (np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32))
+        out = np.zeros((steps, n, HIDDEN), np.float32)
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             z = inputs[t] + h @ self.w["h" + d]
             gates = sigmoid(z[:, : 3 * HIDDEN])
@@ -164,8 +236,21 @@ class Labeller:
                 keep.append((t, h, c, i, f, o, u, tc, m))
             h, c = np.where(m, o * tc, h), np.where(m, new, c)
             out[t] = h
+        if state is not None:
+            state[:] = h, c
         return out
 
+    def long_scores(self, blocks: list[Block], part: int) -> np.ndarray:
+        """The scores of one page, with vectors for `part` blocks at a time: each direction walks the parts in its order."""
+        n, hidden = len(blocks), {d: np.zeros((len(blocks), HIDDEN), np.float32) for d in "fb"}
+        starts = range(0, n, part)
+        for d, order in (("f", starts), ("b", reversed(starts))):
+            state: list = []
+            for a in order:
+                x = vectors(blocks[a : a + part], a, n)[:, None]
+                hidden[d][a : a + part] = self._direction(x, np.ones(x.shape[:2], bool), d, None, state)[:, 0]
+        return sigmoid(np.concatenate((hidden["f"], hidden["b"]), axis=1) @ self.w["o"] + self.w["p"])
+
     def scores(self, x: np.ndarray, mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
         """Chances of being main text; x: steps, pages, SIZE."""
         hf = self._direction(x, mask, "f", None if keep is None else keep.setdefault("f", []))
@@ -330,9 +415,9 @@ class Pages:
         if self.chance(0.2):
             text = text.replace("<body>", "<body><div class=wrap>").replace("</body>", "</div></body>")
         blocks = read_blocks(text)
-        labels = ["\x01" in t or "\x02" in t for _, t, _ in blocks]
-        blocks = [(p, t.replace("\x01", "").replace("\x02", "").strip(), n) for p, t, n in blocks]
-        full = [i for i, b in enumerate(blocks) if b[1]]
+        labels = ["\x01" in t or "\x02" in t for _, _, t, _ in blocks]
+        blocks = [(p, q, t.replace("\x01", "").replace("\x02", "").strip(), n) for p, q, t, n in blocks]
+        full = [i for i, b in enumerate(blocks) if b[2]]
         return text, [labels[i] for i in full], [blocks[i] for i in full]
 
 
@@ -371,13 +456,16 @@ def main_texts(pages: list[str], model: Labeller) -> list[str]:
     start = 0
     while start < len(read):
         end = start + 1
-        while end < len(read) and end - start < 128 and (end - start + 1) * len(read[end][1]) <= 8192:
+        while end < len(read) and end - start < 128 and (end - start + 1) * len(read[end][1]) <= GROUP:
             end += 1
         group = read[start:end]
-        x, mask = padded([vectors(b) for _, b in group])
-        main = model.scores(x, mask) >= 0.5
+        if len(group[0][1]) > GROUP:
+            main = model.long_scores(group[0][1], GROUP)[:, None] >= 0.5
+        else:
+            x, mask = padded([vectors(b) for _, b in group])
+            main = model.scores(x, mask) >= 0.5
         for k, (i, blocks) in enumerate(group):
-            out[i] = " ".join(t for j, (_, t, _) in enumerate(blocks) if main[j, k])
+            out[i] = " ".join(t for j, (_, _, t, _) in enumerate(blocks) if main[j, k])
         start = end
     return out
 
@@ -387,8 +475,9 @@ def extract_text(pages: DataFrame, id_column: str = "page_id", url_column: str =
 
     Character references are decoded, white space inside a block becomes one space, blocks are joined
     by one space in page order. A null or empty page, or one without main text, gives an empty text.
-    Null ids and urls stay null; repeated rows are read one by one; an empty table gives no rows; other
-    columns are ignored. A map over the rows: no shuffle.
+    A block whose score is exactly a half is main text. Pages of any length and depth are read whole, a long one's blocks in
+    parts that carry the hidden state on. Null ids and urls stay null; repeated rows are read one by one; an empty table
+    gives no rows; other columns are ignored. A map over the rows: no shuffle.
     """
     weights = (model or train()).w
     spread = pages.sparkSession.sparkContext.broadcast(weights)  # SIZE * 8 * HIDDEN numbers

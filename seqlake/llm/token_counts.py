@@ -208,13 +208,35 @@ class Counter:
         self.table[state * 256 + byte] = value = to * 256 + added + 128
         return value
 
+    def keep_only(self, states: np.ndarray) -> np.ndarray:
+        """Drops all states but these (as state * 256), and gives their new numbers."""
+        used, at = np.unique(states >> 8, return_inverse=True)
+        keys = [self.keys[s] for s in used.tolist()]
+        self.clear()
+        for key in keys:
+            if key not in self.number:
+                self.number[key] = len(self.keys)
+                self.keys.append(key)
+        if len(self.keys) * 256 > len(self.table):
+            self.table = np.full(len(self.keys) * 512, -1, np.int32)
+        return np.array([self.number[key] for key in keys], np.int64)[at] << 8
+
     def counts(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """The tokens of each piece data[begin : begin + size]."""
+        """The tokens of each piece data[begin : begin + size].
+
+        At most MAX_STATES pieces go side by side, and states are dropped when there are as many again as these can be in.
+        """
+        order = np.argsort(-size, kind="stable")
+        total = np.zeros(len(begin), np.int64)
+        for k in range(0, len(order), MAX_STATES):
+            part = order[k : k + MAX_STATES]
+            total[part] = self._side_by_side(data, begin[part], size[part])
+        return total
+
+    def _side_by_side(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The same for pieces that are given longest first."""
         if len(self.keys) > MAX_STATES:
             self.clear()
-        total = np.zeros(len(begin), np.int64)
-        order = np.argsort(-size, kind="stable")
-        begin, size = begin[order], size[order]
         state, sums = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
         n, k, longest = len(begin), 0, int(size[0]) if len(size) else 0
         left = np.searchsorted(-size, -np.arange(longest), side="left")  # pieces longer than k
@@ -222,6 +244,10 @@ class Counter:
             at = (state[:n] & ~255) + data[begin[:n] + k]
             value = self.table[at]
             if (missing := value < 0).any():
+                if len(self.keys) > 2 * MAX_STATES:
+                    state[:n] = self.keep_only(state[:n])
+                    at = state[:n] + data[begin[:n] + k]
+                    missing = self.table[at] < 0
                 for x in np.unique(at[missing]).tolist():
                     self.compile(x >> 8, x & 255)
                 value = self.table[at]
@@ -236,13 +262,12 @@ class Counter:
                     v = self.compile(s, b)
                 s, c = v >> 8, c + (v & 255)
                 if len(self.keys) > 4 * MAX_STATES:
-                    key = self.keys[s]
-                    self.clear()
-                    s = self.number.setdefault(key, 1)
-                    self.keys += [key] * (s == 1)
+                    # the pieces still to come keep their states too
+                    state[i] = s << 8
+                    state[i:n] = self.keep_only(state[i:n])
+                    s = int(state[i]) >> 8
             sums[i] = c
-        total[order] = sums - 128 * size
-        return total
+        return sums - 128 * size
 
 
 class TokenCounter:
