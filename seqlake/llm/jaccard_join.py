@@ -1,43 +1,53 @@
 """Self-join of documents on the Jaccard similarity of their word n-grams.
 
-A MinHash LSH forest finds candidates: each of `TREES` trees holds every document under a signature
-of up to `DEEPEST` labels, and two documents meet in a tree when their signatures share a prefix.
-The prefix starts at full depth and is shortened until the chance that a pair at the threshold
-meets in some tree reaches the target recall. All candidates are then verified exactly on their sets
-of shingles, in blocks of bounded size: a prefix's members are dealt into blocks, a task compares two
-blocks, and it gives a spanning forest of the links found there instead of the pairs. Documents with
-equal sets are one vertex throughout. Links merge into classes by label propagation with pointer
-jumping over durable tables; links are counted in blocks of each class.
-
-Work and rows are linear in the documents except inside one class of different near-copies, where
-counting links costs the square of its members in compute, spread over tasks of bounded size.
+A MinHash LSH forest finds candidates. Each of `TREES` trees holds every document under a signature of
+`DEEPEST` labels, packed into one integer with the tree in front: a tree is its sorted signatures, and a node of its
+prefix trie is a run of them that share their first labels. Documents are matched at full depth
+first; then the prefix is shortened label by label, and at each depth the nodes that still hold several
+classes are compared. How far it is shortened is measured: a part of the documents, each against a
+made copy at exactly the threshold, shows how often two such signatures share a prefix in a
+tree, and the shortening ends at the first depth at which a pair at the threshold meets in some tree with
+the target chance.
+
+All candidates are verified exactly on their sets of shingles, in blocks bounded in members and in bytes: a
+node's members are dealt into blocks, a task compares two blocks, and it gives a spanning forest of the
+links found there instead of the pairs. Documents with equal sets are one vertex throughout. Links merge into
+classes by label propagation with pointer jumping over durable tables; links are counted in blocks of each class.
+
+Work and rows are linear in the documents except inside one class of different near-copies: counting their
+links compares each two of them, in tasks of bounded size, and a member is sent once for each block of its class.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import durable, hashed, mixed, row_key, slices, split_words, texts_of, windows, with_row_key
+from .words import MIX, durable, hashed, mixed, row_key, slices, split_words, texts_of, windows, with_row_key
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
-TREES, DEEPEST, FIRST_TREES = 40, 9, 8
-BLOCK = 256
+TREES, DEEPEST, FIRST_TREES = 40, 8, 8
+LABEL_BITS = 7  # of a label; two different ones are equal by chance in one of 128 cases, which only adds candidates
+PROBED, PROBE_SIZES = 32, (27, 270)  # one set of so many, cut to a multiple of nine shingles between these
+BLOCK, BLOCK_BYTES, STRIPE_CELLS = 512, 4 << 20, 1 << 23
 NO_WORDS = np.uint64(0x5EED)
 
 
-def depth_for(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, deepest: int = DEEPEST) -> int:
-    """The longest prefix at which a pair at the threshold still meets with the target chance."""
-    for depth in range(deepest, 1, -1):
-        if 1 - (1 - threshold**depth) ** trees >= recall:
-            return depth
-    return 1
+def chance(meets: float, trees: int = TREES) -> float:
+    """The chance that two signatures meet in some tree if they do in one with chance `meets`."""
+    return 1 - (1 - meets) ** trees
+
+
+def depth_for(meets: list[float], recall: float = RECALL, trees: int = TREES) -> int:
+    """The longest prefix at which a pair at the threshold meets with the target chance; meets[d - 1] is that for d labels in one tree."""
+    return next((d for d in range(len(meets), 1, -1) if chance(meets[d - 1], trees) >= recall), 1)
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -60,27 +70,37 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
 
 
 class Forest:
-    """Prefix keys of shingle sets, one for each tree."""
+    """Signatures of shingle sets, one integer for each tree: six bits of tree, then the labels, the first one highest."""
 
-    def __init__(self, depth: int, trees: int = TREES, seed: int = 1):
+    def __init__(self, trees: int = TREES, seed: int = 1):
         random = np.random.RandomState(seed)
-        self.depth, self.trees = depth, trees
-        n = depth * trees
+        self.trees, n = trees, DEEPEST * trees
         self.flip = random.randint(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32)[:, None]
         self.scale = (random.randint(0, 1 << 31, n, dtype=np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
-        self.salt = mixed(np.arange(1, trees + 1, dtype=np.uint64))
+        self.tree = np.arange(trees, dtype=np.uint64) << np.uint64(LABEL_BITS * DEEPEST)
+        self.shift = (np.arange(DEEPEST)[::-1] * LABEL_BITS).astype(np.uint64)
 
-    def keys(self, shingles: np.ndarray) -> np.ndarray:
+    def signatures(self, shingles: np.ndarray) -> np.ndarray:
         small = (shingles >> np.uint64(32)).astype(np.uint32)
-        labels = np.full(len(self.flip), 0xFFFFFFFF, np.uint32)
+        least = np.full(len(self.flip), 0xFFFFFFFF, np.uint32)
         for k in range(0, len(small), 512):
             part = small[k : k + 512]
-            for j in range(0, len(labels), 40):  # in pieces that stay in the processor's cache
-                labels[j : j + 40] = np.minimum(labels[j : j + 40], ((part ^ self.flip[j : j + 40]) * self.scale[j : j + 40]).min(axis=1))
-        out = self.salt.copy()
-        for level in labels.reshape(self.trees, self.depth).T:
-            out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + level)
-        return out.view(np.int64)
+            for j in range(0, len(least), 40):  # in pieces that stay in the processor's cache
+                least[j : j + 40] = np.minimum(least[j : j + 40], ((part ^ self.flip[j : j + 40]) * self.scale[j : j + 40]).min(axis=1))
+        labels = mixed(least.astype(np.uint64) * MIX) >> np.uint64(64 - LABEL_BITS)
+        return (self.tree | np.bitwise_or.reduce(labels.reshape(self.trees, DEEPEST) << self.shift, axis=1)).view(np.int64)
+
+    def probe(self, shingles: np.ndarray, threshold: float) -> np.ndarray | None:
+        """In how many trees a part of the set and a copy of it at the threshold share 1, 2, ... labels; null for too small a set."""
+        n = min(len(shingles), PROBE_SIZES[1])
+        lost = math.floor(n * (1 - threshold) / (1 + threshold) + 1e-9)  # (n - lost) / (n + lost) shingles are shared
+        n = round(lost * (1 + threshold) / (1 - threshold)) if threshold < 1 else n
+        if n < PROBE_SIZES[0] or n > len(shingles):
+            return None
+        own = shingles[np.argsort(mixed(shingles + np.uint64(1)), kind="stable")[:n]]
+        other = np.concatenate((own[lost:], mixed(own[:lost] + np.uint64(0xC0FFEE))))
+        differ = (self.signatures(own) ^ self.signatures(other)).view(np.uint64)
+        return np.array([(differ < (1 << LABEL_BITS * (DEEPEST - d))).sum() for d in range(1, DEEPEST + 1)], np.int64)
 
 
 def set_hash(shingles: np.ndarray) -> int:
@@ -89,21 +109,30 @@ def set_hash(shingles: np.ndarray) -> int:
     return int(mixed(sums * np.array([3, 5, 7], np.uint64)).sum(dtype=np.uint64).astype(np.int64))
 
 
-def sketches(docs: DataFrame, depth: int) -> DataFrame:
-    """key, doc_id, set (its hash), prefixes of each row of (key, doc_id, text)."""
+def sketches(docs: DataFrame, threshold: float) -> DataFrame:
+    """key, doc_id, set (its hash), bytes of its shingles, signatures and, for some rows, met (what `Forest.probe` gives) of each row of (key, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = Forest(depth)
+        forest = Forest()
         for batch in slices(batches, "text"):
-            sets, keys = [], []
+            sets, sizes, found, met = [], [], [], []
             for s in shingle_sets(texts_of(batch)):
                 sets.append(set_hash(s))
-                keys.append(forest.keys(s))
-            flat = np.concatenate(keys)
-            lists = pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * forest.trees, flat)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array(sets, pa.int64()), lists], names=["key", "doc_id", "set", "prefixes"])
+                sizes.append(8 * len(s))
+                found.append(forest.signatures(s))
+                met.append(forest.probe(s, threshold) if sets[-1] % PROBED == 0 else None)
+            lists = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * forest.trees, np.concatenate(found))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array(sets, pa.int64()), pa.array(sizes, pa.int64()), lists, pa.array(met, pa.list_(pa.int64()))], names=["key", "doc_id", "set", "bytes", "signatures", "met"])
+
+    return docs.mapInArrow(run, "key long, doc_id long, set long, bytes long, signatures array<long>, met array<long>")
 
-    return docs.mapInArrow(run, "key long, doc_id long, set long, prefixes array<long>")
+
+def measured(rows: DataFrame, threshold: float) -> list[float]:
+    """The share of trees in which signatures at the threshold share 1, 2, ... labels; by the model of MinHash where no set was probed."""
+    r = rows.filter("met is not null").agg(F.count("*").alias("n"), *[F.sum(F.get("met", F.lit(d))).alias(f"d{d}") for d in range(DEEPEST)]).first()
+    if not r["n"]:
+        return [threshold**d for d in range(1, DEEPEST + 1)]
+    return [r[f"d{d}"] / (r["n"] * TREES) for d in range(DEEPEST)]
 
 
 def with_shingles(docs: DataFrame) -> DataFrame:
@@ -128,9 +157,10 @@ def similar(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: f
     names, code = np.unique(code[shared], return_inverse=True)
     rows, n = rows[shared], len(left)
     common = np.zeros((n, len(sets) - n if right is not None else n), np.float32)
-    for a in range(0, len(names), 8192):  # a stripe of shingles at a time
-        own = (code >= a) & (code < a + 8192)
-        has = np.zeros((len(sets), min(8192, len(names) - a)), np.float32)
+    stripe = max(64, STRIPE_CELLS // len(sets))
+    for a in range(0, len(names), stripe):  # a stripe of shingles at a time
+        own = (code >= a) & (code < a + stripe)
+        has = np.zeros((len(sets), min(stripe, len(names) - a)), np.float32)
         has[rows[own], code[own] - a] = 1
         common += has[:n] @ (has[n:] if right is not None else has).T
     other = sizes[n:] if right is not None else sizes
@@ -138,12 +168,15 @@ def similar(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: f
     return common.astype(np.float64) >= threshold * (sizes[:n, None].astype(np.float64) + other[None, :] - common) - 1e-9
 
 
-def in_blocks(members: DataFrame, group: str, count: str, block: int) -> DataFrame:
-    """Deals each group's members into blocks and repeats a member for every pair of blocks it is in."""
-    n = F.ceil(F.col(count) / block).cast("int")
+def in_blocks(members: DataFrame, group: str, count: str, volume: str) -> DataFrame:
+    """Deals each group's members into blocks and repeats a member for every pair of blocks it is in.
+
+    A block has about BLOCK members and BLOCK_BYTES at most, or one member.
+    """
+    n = F.greatest(F.ceil(F.col(count) / BLOCK), F.ceil(F.col(volume) / BLOCK_BYTES)).cast("int")
     own = F.pmod(F.xxhash64(F.col(group), F.col("set"), F.lit(7)), n).cast("int")
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    return dealt.select(*[c for c in members.columns if c != count], "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    return dealt.select(*[c for c in members.columns if c not in (count, volume)], "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
 
 
 def _sets(pdf: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -220,44 +253,63 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def node_at(depth: int) -> Column:
+    """The node of a tree that a signature lies under at a depth."""
+    return F.shiftright("signature", LABEL_BITS * (DEEPEST - depth))
+
+
+def under_shared_nodes(sets: DataFrame, depth: int) -> DataFrame:
+    """set and signature, for each tree in which a set shares a node of that depth with another one."""
+    dealt = sets.select("set", F.explode("signatures").alias("signature"))
+    shared = dealt.groupBy(node_at(depth).alias("node")).agg(F.count("*").alias("n")).filter("n > 1").select("node")
+    return durable(dealt.withColumn("node", node_at(depth)).join(shared, "node").select("set", "signature"))
+
+
+def joined_at(members: DataFrame, labels: DataFrame, shingles: DataFrame, volumes: DataFrame, depth: int, first: int, last: int, threshold: float) -> DataFrame:
+    """labels after comparing, in the trees first to last - 1, the nodes of a depth that hold several labels."""
+    tree = F.shiftright("signature", LABEL_BITS * DEEPEST)
+    own = members.filter((tree >= first) & (tree < last)).select("set", node_at(depth).alias("node")).join(labels, "set").join(volumes, "set")
+    nodes = own.groupBy("node").agg(F.count("*").alias("members"), F.sum("bytes").alias("volume"), F.sum(F.xxhash64("set").cast("decimal(20,0)")).alias("who"), (F.min("label") != F.max("label")).alias("several")).filter("several and members > 1")
+    # of nodes with equal members, as trees repeat them, the first
+    nodes = nodes.groupBy("members", "who").agg(F.min(F.struct("node", "volume")).alias("v")).select("v.node", "v.volume", "members")
+    met = own.drop("bytes").join(nodes, "node")
+    blocks = in_blocks(met, "node", "members", "volume").join(shingles, "set")
+    links = blocks.groupBy("node", "low", "high").applyInPandas(lambda pdf: linked(pdf, threshold), "a long, b long")
+    joined = components(links).select(F.col("set").alias("label"), F.col("label").alias("to"))
+    return durable(labels.join(joined, "label", "left").select("set", F.coalesce("to", "label").alias("label")))
+
+
 def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, count_links: bool = True) -> DataFrame:
     """One row per row of docs: key, doc_id, class_id, class_first and, if asked for, n_links.
 
     class_id is the least document id of the class, class_first the key of one row that has it: rows
     are in one class when a chain of pairs at or above the threshold connects them. n_links counts
     the other rows at or above the threshold. Shingles are runs of five lower-cased words between
-    ASCII white space; a text with fewer words is one shingle, and texts without words (null too) are
+    ASCII white space, of the whole text however long; a text with fewer words is one shingle, and texts without words (null too) are
     equal to each other. Repeated rows link like any copies. Null ids come after all others as
-    class_id. An empty table gives no rows; other columns are ignored.
+    class_id; of rows with the least id the one with the least key is class_first. An empty table gives no rows; other columns are ignored.
     """
     key = row_key(docs[id_column], docs[text_column])
     plain = docs.select(key.alias("key"), docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
-    rows = durable(sketches(plain, depth_for(threshold, recall)))
-    sets = rows.groupBy("set").agg(F.count("*").alias("copies"), F.min_by("key", F.xxhash64("key")).alias("key"), F.min_by("prefixes", F.xxhash64("key")).alias("prefixes"))
+    rows = durable(sketches(plain, threshold))
+    sets = rows.groupBy("set").agg(F.count("*").alias("copies"), F.first("bytes").alias("bytes"), F.min_by("key", F.xxhash64("key")).alias("key"), F.min_by("signatures", F.xxhash64("key")).alias("signatures"))
     sets = durable(sets)
-    labels, shingles = sets.select("set", F.col("set").alias("label")), None
-    for low, high in ((0, FIRST_TREES), (FIRST_TREES, TREES)):
-        # the first trees link most of what is similar; the others only compare what could join two components
-        dealt = sets.join(labels, "set").select("set", "key", "label", F.explode(F.slice("prefixes", low + 1, high - low)).alias("prefix"))
-        # of prefixes with equal members, as trees repeat them, the first
-        full = dealt.groupBy("prefix").agg(F.count("*").alias("members"), F.sum(F.xxhash64("set").cast("decimal(20,0)")).alias("who"), (F.min("label") != F.max("label")).alias("several")).filter("several")
-        full = full.groupBy("members", "who").agg(F.min("prefix").alias("prefix"))
-        members = durable(dealt.join(full, "prefix").select("set", "key", "label", "prefix", "members"))
-        wanted = members.groupBy("set").agg(F.first("key").alias("key"))
-        if shingles is not None:
-            wanted = wanted.join(shingles, "set", "left_anti")
-        found = plain.join(wanted.hint("shuffle_hash"), "key").groupBy("set").agg(F.first("text").alias("text"))
-        fresh = durable(with_shingles(found))
-        shingles = fresh if shingles is None else shingles.union(fresh)
-        blocks = in_blocks(members.drop("key"), "prefix", "members", BLOCK).join(shingles, "set")
-        links = blocks.groupBy("prefix", "low", "high").applyInPandas(lambda pdf: linked(pdf, threshold), "a long, b long")
-        joined = components(links).select(F.col("set").alias("label"), F.col("label").alias("to"))
-        labels = durable(labels.join(joined, "label", "left").select("set", F.coalesce("to", "label").alias("label")))
+    last = depth_for(measured(rows, threshold), recall)
+    members = under_shared_nodes(sets, last)
+    labels = durable(members.select("set").distinct().withColumn("label", F.col("set")))
+    wanted = sets.join(labels, "set", "left_semi").select("set", "key")
+    found = plain.join(wanted.hint("shuffle_hash"), "key").groupBy("set").agg(F.first("text").alias("text"))
+    shingles = durable(with_shingles(found))
+    volumes = sets.select("set", "bytes")
+    # most copies meet at full depth in the first trees already; all others only compare what could still join two classes
+    labels = joined_at(members, labels, shingles, volumes, DEEPEST, 0, FIRST_TREES, threshold)
+    for depth in range(DEEPEST, last - 1, -1):
+        labels = joined_at(members, labels, shingles, volumes, depth, FIRST_TREES if depth == DEEPEST else 0, TREES, threshold)
     copies = sets.select("set", "copies")
     if count_links:
-        size = labels.groupBy("label").agg(F.count("*").alias("size")).filter("size > 1")
-        own = labels.join(size, "label").select(F.col("label").alias("class"), "set", "size")
-        blocks = in_blocks(own, "class", "size", BLOCK).join(shingles.join(copies, "set"), "set")
+        size = labels.join(volumes, "set").groupBy("label").agg(F.count("*").alias("size"), F.sum("bytes").alias("volume")).filter("size > 1")
+        own = labels.join(size, "label").select(F.col("label").alias("class"), "set", "size", "volume")
+        blocks = in_blocks(own, "class", "size", "volume").join(shingles.join(copies, "set"), "set")
         counts = blocks.groupBy("class", "low", "high").applyInPandas(lambda pdf: counted(pdf, threshold), "set long, links long").groupBy("set").agg(F.sum("links").alias("links"))
         copies = copies.join(counts, "set", "left")
     else:
