@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,3 +86,13 @@ def in_bounds(key: Column, start, end) -> Column:
 
 def size_of(value: Column) -> Column:
     return F.coalesce(F.octet_length(value), F.lit(0)).cast("bigint")
+
+
+#: How much of a long key is shown.
+SHOWN, HEAD, TAIL = 128, 112, 8
+
+
+def shown(key: bytes) -> str:
+    """Bytes for a log: as they are if they can be printed, else in URL-safe base64; the middle of long ones is left out."""
+    plain = lambda b: b.decode() if all(0x20 <= c <= 0x7E for c in b) else base64.urlsafe_b64encode(b).decode().rstrip("=")
+    return plain(key) if len(key) <= SHOWN else f"{plain(key[:HEAD])}..({len(key)}B)..{plain(key[-TAIL:])}"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqlake.functions.model import Corruption
+from seqlake.operators.writes import with_sequences
 
 
 def updates_since(log: DataFrame, seq: int, cutoff: int) -> DataFrame:
@@ -21,18 +22,18 @@ def batches_of(changes: DataFrame) -> DataFrame:
 def gaps(log: DataFrame, after: int, until: int) -> DataFrame:
     """first_missing and last_missing of each stretch of after + 1 to until that the log lacks.
 
-    Looks up seq + 1 and seq - 1 by hash joins, so no task needs the whole log in order.
+    Looks up seq + 1 and seq - 1 by hash joins and numbers the ends of stretches over range partitions, so no task
+    needs the whole log, or all gaps, in order.
     """
     spark = log.sparkSession
     inside = log.select("seq").filter((F.col("seq") > after) & (F.col("seq") <= until)).distinct()
-    ends = inside.unionByName(spark.createDataFrame([(after,), (until + 1,)], "seq bigint")).distinct()
+    ends = inside.unionByName(spark.createDataFrame([(after,), (until + 1,)], "seq bigint"))
     starts = ends.join(ends.select((F.col("seq") - 1).alias("seq")), "seq", "left_anti").filter(F.col("seq") <= until)
     stops = ends.join(ends.select((F.col("seq") + 1).alias("seq")), "seq", "left_anti").filter(F.col("seq") > after)
-    # the k-th stretch runs from the k-th start to the k-th stop; there are as many of both as gaps
-    rank = F.row_number().over(Window.orderBy("seq"))
-    a = starts.select(rank.alias("n"), (F.col("seq") + 1).alias("first_missing"))
-    b = stops.select(rank.alias("n"), (F.col("seq") - 1).alias("last_missing"))
-    return a.join(b, "n").select("first_missing", "last_missing")
+    # a stretch lies between a start and the next stop; at a lone change, the stop before it comes first
+    both = starts.select((F.col("seq") + 1).alias("at"), F.lit(1).alias("side")).union(stops.select((F.col("seq") - 1).alias("at"), F.lit(2).alias("side")))
+    numbered = with_sequences(both, -1, ["at", "side"])
+    return numbered.groupBy(F.floor(F.col("seq") / 2)).agg(F.min("at").alias("first_missing"), F.max("at").alias("last_missing")).select("first_missing", "last_missing")
 
 
 def check_contiguous(log: DataFrame, after: int, until: int) -> None:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqlake.functions.model import DELETE, NEVER
-from seqlake.operators.ranges import with_cover
+from seqlake.operators.ranges import held_by, with_cover
 
 
 def conflicts(log: DataFrame) -> DataFrame:
@@ -55,9 +55,7 @@ def kept_ranges(ranges: DataFrame, retain: int, bottom: bool) -> DataFrame:
 
 
 def outside(keys: DataFrame, files: DataFrame) -> DataFrame:
-    """Adds reclaim: whether no file (min_key, max_key inclusive, null open) may hold the key. files is a manifest: small."""
-    lone = files.select("min_key", "max_key").distinct()
-    holds = (F.coalesce(F.col("key") >= F.col("min_key"), F.lit(True))) & (F.coalesce(F.col("key") <= F.col("max_key"), F.lit(True)))
-    different = keys.select("key").distinct()
-    held = different.join(lone, holds, "left_semi").withColumn("__held", F.lit(True))
+    """Adds reclaim: whether no file (min_key, max_key inclusive, null open) may hold the key."""
+    bounds = files.select(F.col("min_key").alias("start_key"), F.col("max_key").alias("end_key")).distinct()
+    held = held_by(keys.select("key").distinct(), bounds).select("key").distinct().withColumn("__held", F.lit(True))
     return keys.join(held, "key", "left").withColumn("reclaim", F.col("__held").isNull()).drop("__held")

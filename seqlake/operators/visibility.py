@@ -42,14 +42,15 @@ def visible(log: DataFrame, ranges: DataFrame | None, seq: int, now: int, start=
     return decided.select("key", "value", "expires_at", "seq")
 
 
-def get_many(log: DataFrame, ranges: DataFrame | None, keys: DataFrame, seq: int, now: int, broadcast_keys: int = 100_000) -> DataFrame:
+def get_many(log: DataFrame, ranges: DataFrame | None, keys: DataFrame, seq: int, now: int, broadcast_keys: int | None = None) -> DataFrame:
     """The visible entries of the requested keys; empty, null and repeated requests are ignored, absent keys left out.
 
-    The keys are broadcast only when they are few; else both sides are shuffled.
+    The keys are broadcast where Spark knows them to be small, or where a number is given and they are counted and
+    found to be no more; else both sides are shuffled.
     """
     wanted = requested(keys)
-    if wanted.limit(broadcast_keys + 1).count() <= broadcast_keys:
-        wanted = F.broadcast(wanted)
+    if broadcast_keys is not None:
+        wanted = F.broadcast(wanted) if wanted.limit(broadcast_keys + 1).count() <= broadcast_keys else wanted.hint("merge")
     return visible(log.join(wanted, "key", "left_semi"), ranges, seq, now)
 
 
@@ -73,9 +74,11 @@ def history(log: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def merged(*sources: DataFrame) -> DataFrame:
-    """Sources as one relation in internal order: keys ascend, newer versions first."""
+    """Sources as one relation in internal order: keys ascend over partitions and within them, newer versions first.
+
+    All versions of a key are in one partition, so what follows by key needs no other shuffle.
+    """
     out = sources[0]
     for s in sources[1:]:
         out = out.unionByName(s)
-    return out.orderBy(F.asc("key"), F.desc("seq"))
-
+    return out.repartitionByRange("key").sortWithinPartitions(F.asc("key"), F.desc("seq"))

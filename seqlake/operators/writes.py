@@ -71,20 +71,19 @@ def first_errors(ops: DataFrame) -> DataFrame:
 def with_sequences(ops: DataFrame, last_seq: int, order: list[str], partitions: int = 0) -> DataFrame:
     """Adds seq: last_seq + 1 and on, without gaps, in the given total order.
 
-    Two passes, so no task sees all rows: range partitions are counted, then numbered from their
-    offsets. The dealt rows are kept durably, so that both passes see the same partitions.
+    One range shuffle, so no task sees all rows: rows are numbered within their sorted partitions, kept durably, counted by
+    partition, and moved by the rows of the partitions before.
     """
-    spread = ops.repartitionByRange(partitions or int(ops.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order)
-    placed = durable(spread.withColumn("__part", F.spark_partition_id()))
-    counts = {r["__part"]: r["n"] for r in placed.groupBy("__part").agg(F.count("*").alias("n")).collect()}
-    offset, total = {}, last_seq
+    spread = ops.repartitionByRange(partitions or int(ops.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    placed = durable(spread.withColumn("__id", F.monotonically_increasing_id()))  # the partition above 33 bits of place
+    counts = {r["part"]: r["n"] for r in placed.groupBy(F.shiftright("__id", 33).alias("part")).agg(F.count("*").alias("n")).collect()}
+    offset, total = {}, last_seq + 1
     for part in sorted(counts):
         offset[part], total = total, total + counts[part]
     if not offset:
         return ops.withColumn("seq", F.lit(None).cast("bigint"))
     base = F.create_map(*[F.lit(x) for pair in offset.items() for x in pair])
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return placed.withColumn("seq", (base[F.col("__part")] + within).cast("bigint")).drop("__part")
+    return placed.withColumn("seq", (base[F.shiftright("__id", 33)] + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).cast("bigint")).drop("__id")
 
 
 def sequences_in_batches(ops: DataFrame) -> DataFrame:
@@ -103,6 +102,18 @@ def changed_puts(puts: DataFrame) -> DataFrame:
     return puts.withColumn("__same", (kind == PUT) & before.isNotNull() & before.eqNullSafe(now)).filter(~F.col("__same")).drop("__same")
 
 
+def changed_against(ops: DataFrame, state: DataFrame, order: list[str]) -> DataFrame:
+    """ops without puts that change nothing: each is held against the operation before it on its key, the first against state (key, value, expires_at)."""
+    before = state.select("key", F.col("value").alias("__v"), F.col("expires_at").alias("__e"), F.lit(True).alias("__there"))
+    met = ops.join(before, "key", "left")
+    now = F.struct(F.col("kind").alias("k"), F.col("value").alias("v"), F.col("expires_at").alias("e"))
+    first = F.when(F.col("__there"), F.struct(F.lit(PUT).alias("k"), F.col("__v").alias("v"), F.col("__e").alias("e")))
+    w = Window.partitionBy("key").orderBy(*order)
+    last = F.when(F.row_number().over(w) == 1, first).otherwise(F.lag(now).over(w))
+    marked = met.withColumn("__same", (F.col("kind") == PUT) & F.coalesce(last.eqNullSafe(now), F.lit(False)))
+    return marked.filter(~F.col("__same")).select(*ops.columns)
+
+
 def new_puts(puts: DataFrame, state: DataFrame) -> DataFrame:
     """puts without those whose value and deadline are what state (key, value, expires_at) already holds."""
     s = state.select(F.col("key").alias("__k"), F.col("value").alias("__v"), F.col("expires_at").alias("__e"))

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqlake.operators.ranges import held_by
+
 
 @dataclass(frozen=True)
 class File:
@@ -130,16 +132,48 @@ def grouped(files: DataFrame, by: str = "depth") -> DataFrame:
     return files.withColumn("__new", new.cast("bigint")).withColumn("grp", F.sum("__new").over(rising.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
+def largest_groups(files: DataFrame, by: str = "depth") -> DataFrame:
+    """`by`, grp and tables of the overlap group with most files in each `by`; of equals the one with the lowest key."""
+    sizes = grouped(files, by).groupBy(by, "grp").agg(F.count("*").alias("tables"), F.min("min_key").alias("low"))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("tables"), "low"))
+    return sizes.withColumn("rank", rank).filter("rank = 1").select(by, "grp", "tables")
+
+
+def capped_prefix(files: DataFrame, most: int, by: str = "depth") -> DataFrame:
+    """The first files of each `by` up to and with the one that reaches `most` bytes, two at least, with total, the bytes so far."""
+    w = Window.partitionBy(by).orderBy("min_key", "num")
+    before = F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = files.withColumns({"__n": F.row_number().over(w), "__before": before})
+    return rows.filter((F.col("__n") <= 2) | (F.col("__before") < most)).withColumn("total", F.col("__before") + F.col("size")).drop("__n", "__before")
+
+
+def live(edits: DataFrame) -> DataFrame:
+    """num of the files that are live after edits (edit, op, num): those whose last edit adds them."""
+    return edits.groupBy("num").agg(F.max_by("op", "edit").alias("op")).filter("op = 'add'").select("num")
+
+
+def depth_histogram(files: DataFrame) -> DataFrame:
+    """depth, tables, bytes, entries and tombstones of each depth."""
+    return files.groupBy("depth").agg(F.count("*").alias("tables"), F.sum("size").alias("bytes"), F.sum("entries").alias("entries"), F.sum("tombstones").alias("tombstones"))
+
+
+def blob_places(values: DataFrame, threshold: int, by: str, order: str) -> DataFrame:
+    """Adds blob, file and off to (bytes): values from threshold bytes on go to a file for each `by`, one behind the other."""
+    large = F.col("bytes") >= threshold
+    upto = F.sum(F.when(large, F.col("bytes")).otherwise(0)).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return values.withColumns({"blob": large, "file": F.when(large, F.col(by)), "off": F.when(large, upto - F.col("bytes"))})
+
+
 def candidates(keys: DataFrame, files: DataFrame) -> DataFrame:
     """key and num of the files that may hold it; files is a manifest."""
-    holds = F.coalesce(F.col("key") >= F.col("min_key"), F.lit(True)) & F.coalesce(F.col("key") <= F.col("max_key"), F.lit(True))
-    return keys.join(files, holds).select("key", "num")
+    bounds = files.select("num", F.col("min_key").alias("start_key"), F.col("max_key").alias("end_key"))
+    return held_by(keys.select("key"), bounds).select("key", "num")
 
 
 def tier_readiness(files: DataFrame, rules: TierRules) -> DataFrame:
     """depth, tables, bytes, entries, tombstones, largest_overlap, ready of each tier."""
     groups = grouped(files).groupBy("depth", "grp").agg(F.count("*").alias("n")).groupBy("depth").agg(F.max("n").alias("largest_overlap"))
-    sums = files.groupBy("depth").agg(F.count("*").alias("tables"), F.sum("size").alias("bytes"), F.sum("entries").alias("entries"), F.sum("tombstones").alias("tombstones"))
+    sums = depth_histogram(files)
     c, depth = F.col("tables"), F.col("depth")
     enough = ~(F.lit(rules.min_tables >= 2) & (depth > 0) & (c < rules.min_tables))
     gate = (depth == 0) | F.lit(not rules.overlap_selection) | (F.lit(rules.ratio >= 2) & (c >= 2 * rules.ratio)) | (F.col("largest_overlap") >= 2)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqlake.functions.model import PUT, in_bounds, size_of
+from seqlake.engine import Batch, Engine, ExternalWriter, write_external, write_image
+from seqlake.functions.durable import shared_folder
+from seqlake.functions.model import MAX_SEQ, PUT, in_bounds, size_of
 from seqlake.operators import changes, compaction, visibility, writes
 from seqlake.operators.ranges import with_cover
 from seqlake.plans import planner
@@ -55,6 +57,11 @@ def last_seq(spark: SparkSession, d: str) -> int:
     return fx.mutations(spark, d).agg(F.max("seq").alias("s")).first()["s"]
 
 
+def fresh_folder(spark: SparkSession) -> str:
+    """A new folder that all executors can reach."""
+    return f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+
+
 def log_and_ranges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return fx.mutations(spark, d), fx.range_deletes(spark, d)
 
@@ -64,7 +71,7 @@ def log_and_ranges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query(f"WITH {M}, {RT}, {state_sql(LAST)} SELECT key, value, expires_at, seq FROM vis")
 def latest_state(spark, d):
-    return visibility.visible(*log_and_ranges(spark, d), last_seq(spark, d), T)
+    return visibility.visible(*log_and_ranges(spark, d), MAX_SEQ, T)
 
 
 @query(f"WITH {M}, {RT}, {state_sql(S)} SELECT key, value, expires_at FROM vis")
@@ -74,29 +81,29 @@ def snapshot_state(spark, d):
 
 @query(f"WITH {M}, {RT}, {state_sql(LAST, "key >= 'u00000020' AND key < 'u00000300'")} SELECT key, value, expires_at, seq FROM vis")
 def range_scan(spark, d):
-    return visibility.visible(*log_and_ranges(spark, d), last_seq(spark, d), T, "u00000020", "u00000300")
+    return visibility.visible(*log_and_ranges(spark, d), MAX_SEQ, T, "u00000020", "u00000300")
 
 
 @query(f"WITH {M}, {RT}, {state_sql(LAST)} SELECT key, value FROM vis WHERE key < ''")
 def range_scan_empty_end(spark, d):
-    return visibility.visible(*log_and_ranges(spark, d), last_seq(spark, d), T, None, "").select("key", "value")
+    return visibility.visible(*log_and_ranges(spark, d), MAX_SEQ, T, None, "").select("key", "value")
 
 
 @query(f"WITH {M}, {RT}, {state_sql(LAST)} SELECT key, value, expires_at FROM vis WHERE key = (SELECT max(key) FROM m)")
 def point_get(spark, d):
     log, ranges = log_and_ranges(spark, d)
     key = log.agg(F.max("key").alias("k")).first()["k"]
-    return visibility.visible(log.filter(F.col("key") == key), ranges.filter((F.col("start_key") <= key) & (F.col("end_key") > key)), last_seq(spark, d), T).drop("seq")
+    return visibility.visible(log.filter(F.col("key") == key), ranges.filter((F.col("start_key") <= key) & (F.col("end_key") > key)), MAX_SEQ, T).drop("seq")
 
 
 @query(f"WITH {M}, {RT}, {KEYS}, {state_sql(LAST)} SELECT key, value, expires_at, seq FROM vis WHERE key IN (SELECT key FROM wanted WHERE key <> '')")
 def get_many(spark, d):
-    return visibility.get_many(*log_and_ranges(spark, d), fx.wanted_keys(spark), last_seq(spark, d), T)
+    return visibility.get_many(*log_and_ranges(spark, d), fx.wanted_keys(spark), MAX_SEQ, T)
 
 
 @query(f"WITH {M}, {RT}, {KEYS}, {state_sql(LAST)} SELECT w.key, vis.key IS NOT NULL AS present FROM (SELECT DISTINCT key FROM wanted WHERE key <> '') w LEFT JOIN vis ON w.key = vis.key")
 def has_many(spark, d):
-    return visibility.has_many(*log_and_ranges(spark, d), fx.wanted_keys(spark), last_seq(spark, d), T)
+    return visibility.has_many(*log_and_ranges(spark, d), fx.wanted_keys(spark), MAX_SEQ, T)
 
 
 @query(f"WITH {M}, {RT}, {state_sql(S)} SELECT key, seq FROM p WHERE kind = 1")
@@ -188,13 +195,14 @@ def updates_batches(spark, d):
     return changes.batches_of(changes.updates_since(fx.mutations(spark, d), s - 205, s))
 
 
-HOLED = f"{M}, h AS (SELECT seq FROM m WHERE seq % 613 NOT IN (0, 1, 2) AND seq < 9990)"
+HOLED = f"{M}, h AS (SELECT seq FROM m WHERE seq % 613 NOT IN (0, 1, 2) AND seq <= {LAST} - 10)"
 
 
 @query(f"WITH {HOLED}, x AS (SELECT seq FROM h UNION ALL SELECT 0 UNION ALL SELECT {LAST} + 1), g AS (SELECT seq, lag(seq) OVER (ORDER BY seq) AS before FROM x) SELECT before + 1 AS first_missing, seq - 1 AS last_missing FROM g WHERE seq > before + 1")
 def gap_report(spark, d):
-    log = fx.mutations(spark, d).filter((F.col("seq") % 613 > 2) & (F.col("seq") < 9990))
-    return changes.gaps(log, 0, last_seq(spark, d))
+    last = last_seq(spark, d)
+    log = fx.mutations(spark, d).filter((F.col("seq") % 613 > 2) & (F.col("seq") <= last - 10))
+    return changes.gaps(log, 0, last)
 
 
 @query(f"WITH {M} SELECT seq, key FROM m WHERE seq < coalesce((SELECT min(seq) FROM m WHERE seq % 1009 = 0), 1e18)")
@@ -232,6 +240,13 @@ def compact_sql(reclaim: str, keep: str = "TRUE", through: int = 0, retain: str
   SELECT seq, key, CASE WHEN dead THEN 1 ELSE kind END AS kind, CASE WHEN dead THEN NULL ELSE value END AS value, CASE WHEN dead THEN 0 ELSE expires_at END AS expires_at FROM c WHERE NOT (old AND reclaim AND (cover > seq OR dead))"""
 
 
+@query(f"WITH {M}, {RT} SELECT start_key, end_key, seq, seq > {RETAIN} AS at_bottom FROM rt")
+def carried_ranges(spark, d):
+    ranges = fx.range_deletes(spark, d)
+    bottom = compaction.kept_ranges(ranges, RETAIN, True).select("*", F.lit(True).alias("at_bottom"))
+    return compaction.kept_ranges(ranges, RETAIN, False).join(bottom, ["start_key", "end_key", "seq"], "left").withColumn("at_bottom", F.coalesce("at_bottom", F.lit(False)))
+
+
 @query(compact_sql("FALSE"))
 def compact_retain(spark, d):
     return compaction.compacted(*log_and_ranges(spark, d), RETAIN, T)
@@ -290,17 +305,12 @@ def overlap_groups(spark, d):
 
 @query(f"WITH {FILES}, {GROUPS} SELECT depth, grp, count(*) AS tables FROM grouped GROUP BY depth, grp QUALIFY row_number() OVER (PARTITION BY depth ORDER BY count(*) DESC, min(min_key)) = 1")
 def largest_group(spark, d):
-    sizes = planner.grouped(fx.files(spark, d)).groupBy("depth", "grp").agg(F.count("*").alias("tables"), F.min("min_key").alias("low"))
-    rank = F.row_number().over(Window.partitionBy("depth").orderBy(F.desc("tables"), "low"))
-    return sizes.withColumn("rank", rank).filter("rank = 1").select("depth", "grp", "tables")
+    return planner.largest_groups(fx.files(spark, d))
 
 
 @query(f"WITH {FILES}, x AS (SELECT *, row_number() OVER w AS n, coalesce(sum(size) OVER (PARTITION BY depth ORDER BY min_key, num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM files WINDOW w AS (PARTITION BY depth ORDER BY min_key, num)) SELECT depth, num, CAST(before + size AS BIGINT) AS total FROM x WHERE n <= 2 OR before < 100000")
 def byte_cap_prefix(spark, d):
-    w = Window.partitionBy("depth").orderBy("min_key", "num")
-    before = F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = fx.files(spark, d).withColumn("n", F.row_number().over(w)).withColumn("before", before)
-    return rows.filter("n <= 2 OR before < 100000").select("depth", "num", (F.col("before") + F.col("size")).alias("total"))
+    return planner.capped_prefix(fx.files(spark, d), 100_000).select("depth", "num", "total")
 
 
 READY = f"""{FILES}, {GROUPS}, g AS (SELECT depth, max(n) AS largest FROM (SELECT depth, grp, count(*) AS n FROM grouped GROUP BY depth, grp) GROUP BY depth),
@@ -331,13 +341,15 @@ def size_curve(spark, d):
 
 @query("SELECT s_suppkey AS num FROM supplier WHERE s_suppkey % 3 <> 0")
 def manifest_fold(spark, d):
-    added = fx.table(spark, d, "supplier").select(F.col("s_suppkey").alias("num"))
-    return added.join(added.filter("num % 3 = 0"), "num", "left_anti")
+    num = F.col("s_suppkey").alias("num")
+    added = fx.table(spark, d, "supplier").select(F.col("s_suppkey").alias("edit"), F.lit("add").alias("op"), num)
+    gone = fx.table(spark, d, "supplier").filter("s_suppkey % 3 = 0").select((F.col("s_suppkey") + 1_000_000_000).alias("edit"), F.lit("delete").alias("op"), num)
+    return planner.live(added.union(gone))
 
 
 @query(f"WITH {FILES} SELECT depth, count(*) AS tables, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(entries) AS BIGINT) AS entries, CAST(sum(tombstones) AS BIGINT) AS tombstones FROM files GROUP BY depth")
 def depth_histogram(spark, d):
-    return fx.files(spark, d).groupBy("depth").agg(F.count("*").alias("tables"), F.sum("size").alias("bytes"), F.sum("entries").alias("entries"), F.sum("tombstones").alias("tombstones"))
+    return planner.depth_histogram(fx.files(spark, d))
 
 
 @query(f"WITH {FILES} SELECT k.key, count(num) AS files FROM {PROBES} k LEFT JOIN files ON min_key <= k.key AND k.key <= max_key GROUP BY k.key")
@@ -360,10 +372,19 @@ def ingest_newest_wins(spark, d):
 
 @query(f"WITH {M}, {RT}, {state_sql(S)} SELECT key, value, expires_at FROM vis")
 def image_export(spark, d):
-    return visibility.visible(*log_and_ranges(spark, d), fx.sequence_at(spark, d), T).select("key", "value", "expires_at")
+    path = fresh_folder(spark)
+    write_image(visibility.visible(*log_and_ranges(spark, d), fx.sequence_at(spark, d), T), path, parts=4)
+    return spark.read.parquet(path).select("key", "value", "expires_at")
+
 
+FOLLOWER = f"""image AS (SELECT key, value, expires_at, {S} AS seq, 0 AS kind FROM vis), tail AS (SELECT key, value, expires_at, seq, kind FROM m WHERE seq > {S}),
+  fboth AS (SELECT * FROM image UNION ALL SELECT * FROM tail), fp AS (SELECT * FROM fboth QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1),
+  follower AS (SELECT key, value, expires_at FROM fp WHERE kind = 0 AND (expires_at = 0 OR expires_at > {T}) AND NOT EXISTS (SELECT 1 FROM rt WHERE rt.start_key <= fp.key AND fp.key < rt.end_key AND rt.seq > {S} AND rt.seq > fp.seq))"""
+LEADER = f"""lp AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1),
+  leader AS (SELECT key, value, expires_at FROM lp WHERE kind = 0 AND (expires_at = 0 OR expires_at > {T}) AND NOT EXISTS (SELECT 1 FROM rt WHERE rt.start_key <= lp.key AND lp.key < rt.end_key AND rt.seq > lp.seq))"""
 
-@query("SELECT CAST(0 AS BIGINT) AS mismatches")
+
+@query(f"WITH {M}, {RT}, {state_sql(S)}, {FOLLOWER}, {LEADER} SELECT (SELECT count(*) FROM follower) AS followed, (SELECT count(*) FROM (SELECT * FROM follower EXCEPT ALL SELECT * FROM leader)) + (SELECT count(*) FROM (SELECT * FROM leader EXCEPT ALL SELECT * FROM follower)) AS mismatches")
 def image_plus_tail(spark, d):
     log, ranges = log_and_ranges(spark, d)
     s, last = fx.sequence_at(spark, d), last_seq(spark, d)
@@ -372,15 +393,14 @@ def image_plus_tail(spark, d):
     follower = visibility.visible(image.unionByName(tail), ranges.filter(F.col("seq") > s), last, T)
     leader = visibility.visible(log, ranges, last, T)
     a, b = follower.select("key", "value", "expires_at"), leader.select("key", "value", "expires_at")
-    return a.exceptAll(b).union(b.exceptAll(a)).agg(F.count("*").alias("mismatches"))
+    wrong = a.exceptAll(b).union(b.exceptAll(a)).agg(F.count("*").alias("mismatches"))
+    return a.agg(F.count("*").alias("followed")).crossJoin(wrong)  # one row each
 
 
 @query("SELECT doc_id, bytes, bytes >= 1024 AS blob, CASE WHEN bytes >= 1024 THEN bucket END AS file, CASE WHEN bytes >= 1024 THEN CAST(sum(CASE WHEN bytes >= 1024 THEN bytes ELSE 0 END) OVER (PARTITION BY bucket ORDER BY doc_id) AS BIGINT) - bytes END AS off FROM (SELECT doc_id, octet_length(encode(text)) AS bytes, doc_id // 256 AS bucket FROM documents)")
 def blob_split(spark, d):
     rows = fx.table(spark, d, "documents").select("doc_id", F.octet_length("text").cast("bigint").alias("bytes"), F.floor(F.col("doc_id") / 256).cast("bigint").alias("bucket"))
-    large = F.col("bytes") >= 1024
-    upto = F.sum(F.when(large, F.col("bytes")).otherwise(0)).over(Window.partitionBy("bucket").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select("doc_id", "bytes", large.alias("blob"), F.when(large, F.col("bucket")).alias("file"), F.when(large, upto - F.col("bytes")).alias("off"))
+    return planner.blob_places(rows, 1024, "bucket", "doc_id").drop("bucket")
 
 
 @query(f"WITH {M} SELECT key, seq, kind, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS place FROM m")
@@ -396,8 +416,7 @@ def stream_tail_state(spark, d):
     from seqlake.streaming.tail import follow
 
     log, ranges = log_and_ranges(spark, d)
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    folder = f"{base}/tail-{spark.sparkContext.applicationId}-{id(log)}"
+    folder = fresh_folder(spark)
     log.drop("at").repartition(4).write.mode("overwrite").parquet(f"{folder}/changes")
     follow(spark, f"{folder}/changes", f"{folder}/applied", f"{folder}/progress")
     return visibility.visible(spark.read.parquet(f"{folder}/applied"), ranges, last_seq(spark, d), T)
@@ -406,3 +425,133 @@ def stream_tail_state(spark, d):
 @query(f"WITH {M} SELECT seq, key, value FROM m WHERE key >= 'u00000020' AND key < 'u00000300' AND kind = 0")
 def bounded_versions(spark, d):
     return fx.mutations(spark, d).filter(in_bounds(F.col("key"), "u00000020", "u00000300") & (F.col("kind") == PUT)).select("seq", "key", "value")
+
+
+# Whole tables: written, closed, reopened, merged, and read again. Keys and values are bytes there.
+
+PLAIN = f"v AS (SELECT key, value, expires_at, seq FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) WHERE kind = 0 AND (expires_at = 0 OR expires_at > {T}))"
+
+
+def operations(spark: SparkSession, d: str) -> DataFrame:
+    """The mutations as a batch; their sequences come out as they are in the log."""
+    return fx.mutations(spark, d).select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), "kind", "expires_at", F.col("seq").alias("ord"))
+
+
+def filled(spark: SparkSession, d: str, parts: int = 1, **options) -> Engine:
+    """A table with the mutations, written as so many batches one after another."""
+    t = Engine.open(spark, fresh_folder(spark), clock=lambda: T, **options)
+    ops, last = operations(spark, d), last_seq(spark, d)
+    for k in range(parts):
+        t.write_df(ops.filter((F.col("ord") > last * k // parts) & (F.col("ord") <= last * (k + 1) // parts)), ["ord"], 2)
+    return t
+
+
+def reopened(t: Engine, **options) -> Engine:
+    t.close()
+    return Engine.open(t.spark, t.path, clock=t.clock, **options)
+
+
+def text(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"key": F.col("key").cast("string"), "value": F.col("value").cast("string")})
+
+
+@query(f"WITH {M}, {PLAIN} SELECT key, value, expires_at, seq FROM v WHERE NOT (key >= 'u00000010' AND key < 'u00000030') UNION ALL SELECT 'u00000015', 'again', 0, {LAST} + 2")
+def engine_reopen(spark, d):
+    t = filled(spark, d)
+    t.write(Batch().delete_range(b"u00000010", b"u00000030").put(b"u00000015", b"again"))
+    return text(reopened(t, read_only=True).scan())
+
+
+@query(f"WITH {M}, {PLAIN} SELECT key, value, expires_at, seq FROM v")
+def engine_compacted(spark, d):
+    t = filled(spark, d, 4, tier_ratio=2, min_compaction_tables=2)
+    while t.maintain():
+        pass
+    t.compact_range()
+    return text(reopened(t).scan())
+
+
+@query(f"WITH {M}, {PLAIN} SELECT key, value, expires_at FROM v WHERE key >= 'u00000020' AND key < 'u00000300'")
+def engine_range_scan(spark, d):
+    t = filled(spark, d, 2)
+    with t.snapshot() as s:
+        t.delete_range(b"a", b"z")
+        return text(s.scan(b"u00000020", b"u00000300")).drop("seq")
+
+
+@query(f"WITH {M}, {PLAIN}, {KEYS} SELECT key, value, expires_at FROM v WHERE key IN (SELECT key FROM wanted)")
+def engine_get_many(spark, d):
+    return text(filled(spark, d, 2).get_many(fx.wanted_keys(spark).select(F.col("key").cast("binary").alias("key")))).drop("seq")
+
+
+@query(f"WITH {M} SELECT seq, key, kind, value, expires_at FROM m WHERE seq > {LAST} - 700")
+def engine_changes(spark, d):
+    t = reopened(filled(spark, d, 3))
+    return text(t.updates_since(t.latest_seq() - 700)).select("seq", "key", "kind", "value", "expires_at")
+
+
+@query(f"WITH {M}, {PLAIN}, i AS (SELECT 'u' || lpad(CAST(n_nationkey AS VARCHAR), 8, '0') AS key, n_name AS value FROM nation UNION ALL SELECT 'zz', 'last') SELECT key, value, {LAST} + 1 AS seq FROM i UNION ALL SELECT key, value, seq FROM v WHERE key NOT IN (SELECT key FROM i)")
+def engine_ingest(spark, d):
+    t, path = filled(spark, d), fresh_folder(spark)
+    new = fx.table(spark, d, "nation").select(fx.key_of(F.col("n_nationkey")).cast("binary").alias("key"), F.col("n_name").cast("binary").alias("value"))
+    write_external(new.union(spark.createDataFrame([(bytearray(b"zz"), bytearray(b"last"))], "key binary, value binary")), path)
+    t.ingest(path)
+    return text(t.scan()).select("key", "value", "seq")
+
+
+@query("SELECT printf('r%03d', r_regionkey) AS key, r_name AS value, CAST(CASE WHEN r_regionkey % 2 = 0 THEN 0 ELSE 2000000000 END AS BIGINT) AS expires_at FROM region WHERE r_regionkey <> 3")
+def engine_external_writer(spark, d):
+    t, path = Engine.open(spark, fresh_folder(spark), clock=lambda: T), fresh_folder(spark)
+    t.put(b"r003", b"old")
+    w = ExternalWriter(spark, path)
+    for r in fx.table(spark, d, "region").orderBy("r_regionkey").collect():  # five rows
+        k = b"r%03d" % r["r_regionkey"]
+        if r["r_regionkey"] == 3:
+            w.delete(k)
+        else:
+            w.put(k, r["r_name"].encode(), 0 if r["r_regionkey"] % 2 == 0 else 2_000_000_000)
+    w.finish()
+    t.ingest(path)
+    return text(t.scan()).drop("seq")
+
+
+@query(f"WITH {M}, {PLAIN} SELECT key, value, expires_at FROM v WHERE key <> 'u00000002' UNION ALL SELECT 'u00000002', 'tail', 0")
+def engine_image(spark, d):
+    leader, follower, path = filled(spark, d, 2), Engine.open(spark, fresh_folder(spark), clock=lambda: T), fresh_folder(spark)
+    with leader.snapshot() as s:
+        seq = s.write_to(path)
+    leader.put(b"u00000002", b"tail")
+    follower.ingest(path)
+    follower.write_df(leader.updates_since(seq), ["seq"], 1)
+    return text(follower.scan()).drop("seq")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS key, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, md5(text) AS digest FROM documents WHERE doc_id <> 1")
+def engine_blobs(spark, d):
+    t = Engine.open(spark, fresh_folder(spark), clock=lambda: T, value_threshold=1024, blob_file_size=1 << 20)
+    docs = fx.table(spark, d, "documents").select(F.col("doc_id").cast("string").cast("binary").alias("key"), F.encode("text", "UTF-8").alias("value"), "doc_id")
+    t.write_df(docs, ["doc_id"], 2)
+    t.delete(b"1")
+    t.compact_range()
+    return reopened(t, value_threshold=1024).scan().select(F.col("key").cast("string").alias("key"), F.octet_length("value").cast("bigint").alias("bytes"), F.md5("value").alias("digest"))
+
+
+@query(f"WITH {M} SELECT TRUE AS ok, count(*) AS entries FROM m")
+def engine_verify(spark, d):
+    t = filled(spark, d, 2)
+    return t.verify().join(t.tables(), "num").groupBy("ok").agg(F.sum("entries").alias("entries"))
+
+
+@query(f"WITH {M} SELECT {LAST} AS last_seq, CAST(3 AS BIGINT) AS batches, count(*) AS ops, count(*) AS entries, count(*) FILTER (WHERE kind = 1) AS tombstones, CAST(sum(octet_length(encode(key)) + coalesce(octet_length(encode(value)), 0)) AS BIGINT) AS user_bytes FROM m")
+def engine_stats(spark, d):
+    return filled(spark, d, 3).stats().select("last_seq", "batches", "ops", "entries", "tombstones", "user_bytes")
+
+
+@query(f"WITH {DEDUP} SELECT row_number() OVER (ORDER BY seq) AS seq, CAST(key AS VARCHAR) AS key, value FROM kept")
+def engine_deduplication(spark, d):
+    t = Engine.open(spark, fresh_folder(spark), clock=lambda: T, deduplication=True)
+    puts = fx.order_puts(spark, d).select(F.col("seq").alias("ord"), F.col("key").cast("string").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"))
+    half = fx.table(spark, d, "orders").agg(F.max("o_orderkey").alias("m")).first()["m"] // 2
+    t.write_df(puts.filter(F.col("ord") <= half), ["ord"], 2)
+    t.write_df(puts.filter(F.col("ord") > half), ["ord"], 2)
+    return text(t.updates_since(0)).select("seq", "key", "value")
