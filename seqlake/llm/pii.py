@@ -8,10 +8,11 @@ is smoothed towards P(c) by `SMOOTHING` texts, so that a term seen in one text c
 with c in many. Where the information reaches `GENERALISE` of the identifier's, the term is replaced by a general one
 wherever it stands, in every text; from `REMOVE` on it is removed. An identifier that all texts hold says nothing.
 
-All of it is DataFrame operations. Counts are added up before each shuffle. Lists of terms and identifiers are
-broadcast up to `BROADCAST_ROWS` rows; beyond, they are joined with the other side's salted rows, since one
-term or identifier may fill a large part of them. Of all words only those that pass a bitmap of the chosen
-terms are shuffled then.
+All of it is DataFrame operations. Texts are never shuffled: identifiers are found once and kept with the
+texts that hold some; of all words only those that pass a bitmap of the terms beside identifiers are counted, and
+only the places of those that pass a bitmap of the chosen terms are joined with these. The bitmaps have a fixed size.
+Counts are added up before each shuffle. Lists of terms and identifiers are broadcast up to `BROADCAST_ROWS` rows;
+beyond, they are joined with the other side's salted rows, since one term or identifier may fill a large part of them.
 """
 
 from __future__ import annotations
@@ -25,7 +26,10 @@ GENERALISE, REMOVE, SMOOTHING = 0.8, 0.95, 1.0
 BROADCAST_ROWS = 200_000
 SALTS, BITMAP_BITS = 16, 25
 KINDS = ("email", "ip", "card", "phone")
-REPLACEMENTS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "general": "<TERM>", "remove": ""}
+REPLACEMENTS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "remove": ""}
+# What a term becomes by how it is written; the first that fits.
+GENERAL = ((r"^\p{N}+$", "<NUMBER>"), (r"\p{N}", "<CODE>"), (r"^\p{Lu}", "<NAME>"), ("", "<TERM>"))
+PART = 512
 
 # A separator between digits, or a dot inside a domain, becomes a mark first; so every pattern below
 # is a run of one character class and needs neither recursion nor a second try.
@@ -33,7 +37,7 @@ MARK = "\uFDD0"
 LOCAL = "A-Za-z0-9._%+-"
 EMAIL = rf"(?:(?<![{MARK}{LOCAL}])|\G)[{MARK}{LOCAL}]++@[A-Za-z0-9-]++{MARK}[A-Za-z0-9{MARK}-]++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
-CARD = rf"[0-9][0-9{MARK}]+"
+CARD = rf"[0-9][0-9{MARK}]{{15,}}"  # 16 digits at least
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 TERM = r"[\p{L}\p{N}]{3,}"
@@ -41,20 +45,66 @@ TERM = r"[\p{L}\p{N}]{3,}"
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with the value worked out once: what a lambda takes from outside is worked out each time it runs."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def folded(items: Column, first: Column, kind: str, step, context=lambda at, own: F.lit(0)) -> Column:
+    """All that step(at, item, context) gives for items in turn, as (at, out): step gives the next at and an array of a kind.
+
+    Arrays grow by copying, so parts of the items are folded by themselves and put together at the end. context(at, own) is worked
+    out once for each part.
+    """
+    none = F.array().cast(kind)
+
+    def one(acc: Column, item: Column, c: Column) -> Column:
+        at, out = step(acc["at"], item, c)
+        return F.struct(at.alias("at"), F.concat(acc["out"], out).alias("out"))
+
+    def part(acc: Column, own: Column, c: Column) -> Column:
+        inner = F.aggregate(own, F.struct(acc["at"].alias("at"), none.alias("out")), lambda a, item: one(a, item, c))
+        return once(inner, lambda p: F.struct(p["at"].alias("at"), F.array_append(acc["out"], p["out"]).alias("out")))
+
+    def every(items: Column) -> Column:
+        parts = F.sequence(F.lit(0), F.floor((F.greatest(F.size(items), F.lit(1)) - 1) / PART).cast("int"))
+        start = F.struct(first.alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+        whole = F.aggregate(parts, start, lambda acc, k: once(F.slice(items, k * PART + 1, F.lit(PART)), lambda own: once(context(acc["at"], own), lambda c: part(acc, own, c))))
+        return once(whole, lambda w: F.struct(w["at"].alias("at"), F.flatten(w["out"]).alias("out")))
+
+    return once(items, every)
+
+
+def stretch(text: Column):
+    """The context of a fold over spans (start, end): the text from where it stands to the last end, and where that begins.
+
+    Finding a place in a text takes as many steps as there are characters before it, so it is done once for each part.
+    """
+
+    def context(at: Column, own: Column) -> Column:
+        last = F.coalesce(F.array_max(F.transform(own, lambda s: s["end"])), at)
+        return F.struct(at.alias("begin"), F.substr(text, at + 1, F.greatest(last - at, F.lit(0))).alias("text"))
+
+    return context
+
+
+def cut(c: Column, start: Column, end: Column) -> Column:
+    """Characters start to end - 1 of the text, from a context of `stretch`."""
+    return F.substr(c["text"], start - c["begin"] + 1, F.greatest(end - start, F.lit(0)))
+
+
 def found(text: Column, pattern: str | Column, kind: str, value=lambda hit: hit) -> Column:
     """The matches of a pattern with their places, in code points, end exclusive."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
 
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + F.length(pair["gap"])
+    def step(at: Column, pair: Column, _: Column) -> tuple[Column, Column]:
+        begin = at + F.length(pair["gap"])
         end = begin + F.length(pair["hit"])
-        span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), value(pair["hit"]).alias("value"))
-        return F.struct(end.alias("at"), F.array_append(acc["spans"], span).alias("spans"))
+        return end, F.array(F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), value(pair["hit"]).alias("value")))
 
     pairs = F.filter(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), lambda p: p["hit"].isNotNull())
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
-    return F.aggregate(pairs, first, step)["spans"]
+    return folded(pairs, F.lit(0), SPAN, step)["out"]
 
 
 def digits(hit: Column) -> Column:
@@ -88,22 +138,17 @@ def blanked(text: Column, base: Column) -> Column:
     """The text with spaces in the place of identifiers, as long as it was."""
     order = F.array_sort(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
 
-    def step(acc: Column, s: Column) -> Column:
-        begin = F.greatest(acc["at"], s["start"])
-        parts = F.concat(acc["parts"], F.array(F.substr(text, acc["at"] + 1, begin - acc["at"]), F.repeat(F.lit(" "), F.greatest(s["end"] - begin, F.lit(0)))))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), parts.alias("parts"))
-
-    whole = F.aggregate(order, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")), step)
-    return F.concat(F.array_join(whole["parts"], ""), F.substr(text, whole["at"] + 1, F.length(text)))
+    def step(at: Column, s: Column, c: Column) -> tuple[Column, Column]:
+        begin = F.greatest(at, s["start"])
+        return F.greatest(at, s["end"]), F.array(cut(c, at, begin), F.repeat(F.lit(" "), F.greatest(s["end"] - begin, F.lit(0))))
 
-
-def surfaces(text: Column) -> Column:
-    """The different terms of a text as they are written."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
+    whole = folded(order, F.lit(0), "array<string>", step, stretch(text))
+    return once(whole, lambda w: F.concat(F.array_join(w["out"], ""), F.substr(text, w["at"] + 1, F.length(text))))
 
 
 def terms_in(text: Column) -> Column:
-    return F.array_distinct(F.transform(surfaces(text), F.lower))
+    """The different terms of a text, in lower case."""
+    return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))), F.lower))
 
 
 def listed(left: DataFrame, few: DataFrame, on: str, broadcast_rows: int) -> DataFrame:
@@ -128,12 +173,13 @@ def decisions(marked: DataFrame, texts: DataFrame, n_texts: int, generalise: flo
     entities = durable(marked.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("held")).filter(F.col("held") < n_texts))
     ends = entities.agg(F.min("held").alias("low"), F.max("held").alias("high")).first()
     low, high = ((ends[k] or 0) / n_texts if n_texts else 0.0 for k in ("low", "high"))
-    words = texts.select(F.explode(terms_in(F.col("free"))).alias("term")).groupBy("term").agg(F.count("*").alias("seen"))
     beside = marked.select("entities", F.explode(terms_in(F.col("free"))).alias("term"))
+    near = durable(beside.groupBy("term").agg(F.count("*").alias("most")))
+    words = passing(texts.select(F.explode(terms_in(F.col("free"))).alias("term")), near).groupBy("term").agg(F.count("*").alias("seen"))
     # no entity can be told from a term that falls short of the lowest bound with all texts that hold it and any entity
-    could = beside.groupBy("term").agg(F.count("*").alias("most")).join(words, "term").filter((F.col("most") + smoothing * high) / (F.col("seen") + smoothing) >= low ** (1 - generalise) * (1 - 1e-9))
-    near = listed(beside, durable(could.select("term", "seen")), "term", broadcast_rows)
-    joint = near.select("term", "seen", F.explode("entities").alias("entity")).groupBy("term", "seen", "entity").agg(F.count("*").alias("joint"))
+    could = near.join(words, "term").filter((F.col("most") + smoothing * high) / (F.col("seen") + smoothing) >= low ** (1 - generalise) * (1 - 1e-9))
+    met = listed(beside, durable(could.select("term", "seen")), "term", broadcast_rows)
+    joint = met.select("term", "seen", F.explode("entities").alias("entity")).groupBy("term", "seen", "entity").agg(F.count("*").alias("joint"))
     weighed = listed(joint, entities, "entity", broadcast_rows)
     p = F.col("held") / n_texts
     disclosed = 1 + F.log((F.col("joint") + smoothing * p) / (F.col("seen") + smoothing)) / -F.log(p)
@@ -147,28 +193,24 @@ def find_pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
     Places count code points, end exclusive. base holds direct identifiers by kind, then place; terms
     holds all occurrences of disclosing terms by kind, then place, each outside all identifiers; a text without
-    identifiers may have some. A null text has neither. Null ids stay null. Repeated rows share a key and get the
-    same spans; each counts as a text. An empty table gives no rows; other columns are ignored.
+    identifiers may have some. A null text has neither; texts of any length are read whole. Null ids stay null. Repeated rows
+    share a key and get the same spans; each counts as a text. A figure equal to a bound reaches it. An empty table gives no
+    rows; other columns are ignored.
     """
     plain = docs.select(row_key(docs[id_column], docs[text_column]).alias("key"), docs[id_column].cast("long").alias("doc_id"), F.coalesce(docs[text_column].cast("string"), F.lit("")).alias("text"))
     rows = plain.withColumn("base", base_spans(F.col("text")))
-    rows = rows.withColumn("free", F.when(F.size("base") > 0, blanked(F.col("text"), F.col("base"))).otherwise(F.col("text"))).drop("text")
+    rows = rows.withColumn("free", F.when(F.size("base") > 0, blanked(F.col("text"), F.col("base"))).otherwise(F.col("text")))
+    spans = durable(rows.select("key", "doc_id", "base", F.when(F.size("base") > 0, F.col("free")).alias("free")))
     named = F.array_distinct(F.transform("base", lambda s: F.concat(s["kind"], F.lit(":"), s["value"])))
-    marked = durable(rows.filter(F.size("base") > 0).select("free", named.alias("entities")))
-    chosen = durable(decisions(marked, rows, plain.count(), generalise, remove, smoothing, broadcast_rows))
-    written = rows.select("key", F.explode(surfaces(F.col("free"))).alias("surface")).withColumn("term", F.lower("surface"))
-    if chosen.count() > broadcast_rows:
-        written = passing(written, chosen)
-    hits = listed(written, chosen, "term", broadcast_rows).groupBy("key").agg(F.collect_set(F.struct("kind", "surface")).alias("hits"))
-    met = rows.join(hits.hint("shuffle_hash"), "key", "left")
-
-    def places(kind: str) -> Column:
-        any_of = F.array_join(F.transform(F.filter("hits", lambda h: h["kind"] == kind), lambda h: h["surface"]), "|")
-        pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), any_of, F.lit(r")(?![\p{L}\p{N}])"))
-        return F.when(F.length(any_of) > 0, found(F.col("free"), pattern, kind, F.lower)).otherwise(F.array().cast(SPAN))
-
-    terms = F.when(F.col("hits").isNotNull(), F.concat(places("general"), places("remove"))).otherwise(F.array().cast(SPAN))
-    return met.select("key", "doc_id", "base", terms.alias("terms"))
+    marked = spans.filter(F.size("base") > 0).select("free", named.alias("entities"))
+    chosen = durable(decisions(marked, rows, spans.count(), generalise, remove, smoothing, broadcast_rows))
+    written = rows.select("key", "doc_id", F.explode(found(F.col("free"), TERM, "", F.lower)).alias("s")).select("key", "doc_id", F.col("s.value").alias("term"), "s.start", "s.end")
+    hits = listed(passing(written, chosen), chosen, "term", broadcast_rows)
+    span = F.struct("kind", F.col("start"), F.col("end"), F.col("term").alias("value"))
+    terms = hits.groupBy("key", "doc_id").agg(F.sort_array(F.collect_set(span)).alias("terms"))  # by row: repeated ones share it
+    terms = terms.withColumnsRenamed({"key": "key2", "doc_id": "doc_id2"})
+    same = (F.col("key") == F.col("key2")) & F.col("doc_id").eqNullSafe(F.col("doc_id2"))
+    return spans.drop("free").join(terms, same, "left").select("key", "doc_id", "base", F.coalesce("terms", F.array().cast(SPAN)).alias("terms"))
 
 
 def digest(spans: Column) -> Column:
@@ -176,17 +218,27 @@ def digest(spans: Column) -> Column:
 
 
 def replaced(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by what stands for its kind; overlapping spans fall to the first."""
-    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))))
+    """The text with each span replaced by what stands for its kind; overlapping spans fall to the first.
+
+    A generalised term becomes a number, a code, a name or a term, as it is written.
+    """
+    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["end"].alias("end"), s["kind"].alias("kind"))))
     names = F.create_map(*[F.lit(x) for pair in REPLACEMENTS.items() for x in pair])
 
-    def step(acc: Column, s: Column) -> Column:
-        parts = F.concat(acc["parts"], F.array(F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), names[s["kind"]]))
-        return F.struct(F.greatest(acc["at"], -s["end"]).alias("at"), F.when(s["start"] >= acc["at"], parts).otherwise(acc["parts"]).alias("parts"))
+    def general(written: Column) -> Column:
+        out = F.lit(GENERAL[-1][1])
+        for pattern, name in reversed(GENERAL[:-1]):
+            out = F.when(written.rlike(pattern), name).otherwise(out)
+        return out
+
+    def step(at: Column, s: Column, c: Column) -> tuple[Column, Column]:
+        own = F.when(s["kind"] == "general", once(cut(c, s["start"], s["end"]), general)).otherwise(names[s["kind"]])
+        parts = F.array(cut(c, at, s["start"]), own)
+        return F.greatest(at, s["end"]), F.when(s["start"] >= at, parts).otherwise(F.array().cast("array<string>"))
 
-    whole = F.aggregate(order, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")), step)
-    rest = F.substr(text, whole["at"] + 1, F.length(text))
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(whole["parts"], ""), rest))
+    whole = folded(order, F.lit(0), "array<string>", step, stretch(text))
+    new = once(whole, lambda w: F.concat(F.array_join(w["out"], ""), F.substr(text, w["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) == 0, text).otherwise(new)
 
 
 def sanitise(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
