@@ -1,4 +1,8 @@
-"""A training-data pipeline over the documents table, from quality filter to packed sequences."""
+"""A training-data pipeline over the documents table, from quality filter to packed sequences.
+
+Every stage but the last returns the columns it was given, whatever they are called, and takes nulls in any of them, empty
+and very long texts, rows that repeat and empty tables, which give empty tables. Each says below what becomes of these.
+"""
 
 from __future__ import annotations
 
@@ -18,28 +22,45 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity is usual for trusted text of their language."""
+    """Documents whose perplexity is usual for trusted text of their language.
+
+    Null and empty texts go; a null language is one by itself; repeated rows are judged alike and all stay or go; a text at the
+    limit stays. Without labels all other texts stay.
+    """
     return drop_low_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-copies."""
+    """One document of each class of near-copies: the one with the least id.
+
+    Null and empty texts are one class. Of repeated rows one stays; a null id comes after all others; of rows with one id and
+    different texts the one with the least hash of both stays.
+    """
     return drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark passages."""
+    """Documents without benchmark passages, re-parameterised ones too.
+
+    Null and empty texts stay; repeated rows stay or go together; a share of windows equal to the limit counts as found.
+    """
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data and disclosing terms replaced."""
+    """Documents with personal data and disclosing terms replaced; n_chars, if there, is counted anew.
+
+    All rows stay; a null text stays null, and so does its n_chars; repeated rows are replaced alike.
+    """
     clean = sanitise(docs)
     return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document's tokens go in sequences of 2048."""
+    """Where each document's tokens go in sequences of 2048, in columns of its own: a row for each piece.
+
+    Null and empty texts are their end id alone; repeated rows are packed one by one; null ids stay null.
+    """
     return pack(docs, tokenizer("word_bpe_49k.json"))
 
 
