@@ -29,7 +29,7 @@ KINDS = ("email", "ip", "card", "phone")
 REPLACEMENTS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "remove": ""}
 # What a term becomes by how it is written; the first that fits.
 GENERAL = ((r"^\p{N}+$", "<NUMBER>"), (r"\p{N}", "<CODE>"), (r"^\p{Lu}", "<NAME>"), ("", "<TERM>"))
-PART = 512
+LEAST_PART = 16
 
 # A separator between digits, or a dot inside a domain, becomes a mark first; so every pattern below
 # is a run of one character class and needs neither recursion nor a second try.
@@ -50,27 +50,32 @@ def once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def folded(items: Column, first: Column, kind: str, step, context=lambda at, own: F.lit(0)) -> Column:
-    """All that step(at, item, context) gives for items in turn, as (at, out): step gives the next at and an array of a kind.
+def folded(items: Column, first: Column, kind: str, step, context=lambda at, own: F.lit(0), add=F.concat) -> Column:
+    """All that step(at, item, context) gives for items in turn, as (at, out): step gives the next at and what is added to an array of a kind.
 
-    Arrays grow by copying, so parts of the items are folded by themselves and put together at the end. context(at, own) is worked
-    out once for each part.
+    Arrays grow by copying, so parts of the items, as many as each has, are folded by themselves and put together at the end.
+    context(at, own) is worked out once for each part.
     """
     none = F.array().cast(kind)
 
     def one(acc: Column, item: Column, c: Column) -> Column:
         at, out = step(acc["at"], item, c)
-        return F.struct(at.alias("at"), F.concat(acc["out"], out).alias("out"))
+        return F.struct(at.alias("at"), add(acc["out"], out).alias("out"))
 
     def part(acc: Column, own: Column, c: Column) -> Column:
         inner = F.aggregate(own, F.struct(acc["at"].alias("at"), none.alias("out")), lambda a, item: one(a, item, c))
         return once(inner, lambda p: F.struct(p["at"].alias("at"), F.array_append(acc["out"], p["out"]).alias("out")))
 
     def every(items: Column) -> Column:
-        parts = F.sequence(F.lit(0), F.floor((F.greatest(F.size(items), F.lit(1)) - 1) / PART).cast("int"))
+        n = F.greatest(F.size(items), F.lit(1))
+        size = F.greatest(F.ceil(F.sqrt(n)), F.lit(LEAST_PART)).cast("int")
         start = F.struct(first.alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
-        whole = F.aggregate(parts, start, lambda acc, k: once(F.slice(items, k * PART + 1, F.lit(PART)), lambda own: once(context(acc["at"], own), lambda c: part(acc, own, c))))
-        return once(whole, lambda w: F.struct(w["at"].alias("at"), F.flatten(w["out"]).alias("out")))
+
+        def in_parts(size: Column) -> Column:
+            parts = F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int"))
+            return F.aggregate(parts, start, lambda acc, k: once(F.slice(items, k * size + 1, size), lambda own: once(context(acc["at"], own), lambda c: part(acc, own, c))))
+
+        return once(once(size, in_parts), lambda w: F.struct(w["at"].alias("at"), F.flatten(w["out"]).alias("out")))
 
     return once(items, every)
 
@@ -93,18 +98,22 @@ def cut(c: Column, start: Column, end: Column) -> Column:
     return F.substr(c["text"], start - c["begin"] + 1, F.greatest(end - start, F.lit(0)))
 
 
-def found(text: Column, pattern: str | Column, kind: str, value=lambda hit: hit) -> Column:
+def running(sizes: Column) -> Column:
+    """The running sums of an array of integers, in parts like `folded`."""
+    whole = folded(sizes, F.lit(0), "array<int>", lambda at, size, _: (at + size, at + size), add=F.array_append)
+    return whole["out"]
+
+
+def found(text: Column, pattern: str, kind: str, value=lambda hit: hit) -> Column:
     """The matches of a pattern with their places, in code points, end exclusive."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
+    both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
 
-    def step(at: Column, pair: Column, _: Column) -> tuple[Column, Column]:
-        begin = at + F.length(pair["gap"])
-        end = begin + F.length(pair["hit"])
-        return end, F.array(F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), value(pair["hit"]).alias("value")))
+    def spans(b: Column) -> Column:
+        ends = running(F.zip_with(b["gaps"], b["hits"], lambda gap, hit: F.length(gap) + F.length(hit)))  # after the last hit comes a gap alone
+        pairs = F.filter(F.arrays_zip(b["hits"].alias("hit"), ends.alias("end")), lambda p: p["hit"].isNotNull())
+        return F.transform(pairs, lambda p: F.struct(F.lit(kind).alias("kind"), (p["end"] - F.length(p["hit"])).alias("start"), p["end"].alias("end"), value(p["hit"]).alias("value")))
 
-    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), lambda p: p["hit"].isNotNull())
-    return folded(pairs, F.lit(0), SPAN, step)["out"]
+    return once(both, spans)
 
 
 def digits(hit: Column) -> Column:
