@@ -5,9 +5,9 @@ The model is an interpolated modified Kneser-Ney model over the bytes of UTF-8 t
 Counts come from all trusted documents: tasks count their own n-grams, a shuffle by n-gram adds them
 up, and joins between the count tables of neighbouring orders, sharded by n-gram, give continuation
 counts, discounts, back-off weights and interpolated probabilities. A document's perplexity is held
-against that of trusted held-out documents of its language: the limit lies some median absolute deviations
-of the logarithms above their median, so one odd trusted text does not move it. How many follows from
-held-out rows labelled good and bad.
+against quantiles of that of trusted held-out documents of its language: the limit lies above the median of the
+logarithms by a multiple of the way to their `HIGH` quantile, so one odd trusted text does not move it. Which
+multiple follows from held-out rows labelled good and bad.
 
 The tables go to the scoring tasks as a broadcast while they have at most `BROADCAST_ROWS` rows.
 Beyond that, documents' n-grams are joined with the sharded tables instead.
@@ -26,12 +26,13 @@ from pyspark.sql import functions as F
 from .words import durable, mixed, row_key, rows_with, slices, texts_of
 
 ORDER = 5
-QUANTILE, MARGIN = 0.995, 1.05  # without labelled bad rows
-DEVIATIONS, LEAST_SPREAD, LEAST_BAD = [0.5 * k for k in range(4, 61)], 0.01, 20
-USUAL_DEVIATIONS = 6.0
+HIGH = 0.9  # five held-out texts at least lie above it
+MULTIPLES, LEAST_SPREAD, LEAST_BAD = [1 + 0.25 * k for k in range(77)], 0.01, 20
+USUAL_MULTIPLE = 4.0  # without labelled bad rows
 BROADCAST_ROWS = 6_000_000
 BROADCAST_IDS = 2_000_000
-LEAST_LABELS, MAX_LANGUAGES = 50, 64
+BROADCAST_LANGUAGES, SALTS = 100_000, 32
+LEAST_LABELS = 50
 SLICE = 1 << 20  # bytes of text at a time; some forty bytes of arrays go with each
 PAD = 0  # stands before the first byte of a text
 
@@ -104,7 +105,7 @@ class Lookup:
         self.bits = max(1, (2 * len(keys)).bit_length())
         at = self._bucket(keys)
         order = np.argsort(at, kind="stable")
-        self.keys, self.values = keys[order], values[order].astype(np.float32)
+        self.keys, self.values = keys[order], values[order].astype(np.float64)
         self.first = np.searchsorted(at[order], np.arange((1 << self.bits) + 1)).astype(np.int32)
         self.deepest = int(np.diff(self.first).max(initial=0))
 
@@ -113,7 +114,7 @@ class Lookup:
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         """The values; NaN where a key is unknown."""
-        out = np.full(len(keys), np.nan, np.float32)
+        out = np.full(len(keys), np.nan)
         if not len(self.keys):
             return out
         at = self._bucket(keys)
@@ -202,50 +203,40 @@ def held_out(id_column: Column) -> Column:
     return F.crc32(id_column.cast("string").cast("binary")) % 5 == 0
 
 
-def thresholds(sample: DataFrame, quantile: float, margin: float) -> dict[str | None, float]:
-    """Limits by language, None for all others, from held-out rows (language, label, perplexity, x, its logarithm).
+def thresholds(sample: DataFrame) -> tuple[DataFrame, float | None]:
+    """Limits (language, threshold) of the languages with 50 good held-out rows, and the limit of all others, null without any good row.
 
-    With 20 rows labelled 0, the deviations that keep the smallest share of bad rows and reject the smallest
-    share of good ones, both shares added, hold for all languages. With fewer: `margin` times the quantile, or,
-    where that would be the largest value, the usual deviations.
+    sample: held-out rows (language, label, x, the logarithm of the perplexity). With 20 rows labelled 0, the largest
+    multiple of those with which the share of bad rows kept and the share of good ones rejected, added up, are
+    smallest holds for all languages; with fewer the usual one.
     """
     fine = sample.filter("label = 1")
-    half = lambda x: F.percentile_approx(x, 0.5, 100_000)
-    figures = [F.count("*").alias("n"), half(F.col("x")).alias("mid"), F.percentile_approx("perplexity", quantile, 100_000).alias("top")]
-    found = {None: fine.agg(*figures).first()}
-    if not found[None]["n"]:
-        return {}
-    found |= {r["language"]: r for r in fine.groupBy("language").agg(*figures).filter(F.col("n") >= LEAST_LABELS).orderBy(F.desc("n"), "language").limit(MAX_LANGUAGES).collect()}
-
-    def of_language(values: dict[str | None, float]) -> Column:
-        out = F.lit(values[None])
-        for language, value in values.items():
-            out = out if language is None else F.when(F.col("language") == language, F.lit(value)).otherwise(out)
-        return out
-
-    mid = {k: r["mid"] for k, r in found.items()}
-    away = fine.withColumn("away", F.abs(F.col("x") - of_language(mid)))
-    spread = {None: fine.agg(half(F.abs(F.col("x") - mid[None])).alias("s")).first()["s"]}
-    spread |= {r["language"]: r["s"] for r in away.filter(F.col("language").isin([k for k in mid if k is not None])).groupBy("language").agg(half(F.col("away")).alias("s")).collect()}
-    spread = {k: max(v, LEAST_SPREAD) for k, v in spread.items()}
-    z = (F.col("x") - of_language(mid)) / of_language(spread)
-    wrong = [F.sum(((F.col("label") == 1) & (z > k)).cast("long")).alias(f"good_{i}") for i, k in enumerate(DEVIATIONS)]
-    wrong += [F.sum(((F.col("label") == 0) & (z <= k)).cast("long")).alias(f"bad_{i}") for i, k in enumerate(DEVIATIONS)]
-    r = sample.agg(F.sum((F.col("label") == 0).cast("long")).alias("n_bad"), *wrong).first()
+    at = lambda q: F.percentile_approx("x", q, 100_000)
+    figures = [F.count("*").alias("n"), at(0.5).alias("mid"), F.greatest(at(HIGH) - at(0.5), F.lit(LEAST_SPREAD)).alias("spread")]
+    every = fine.agg(*figures).first()
+    own = durable(fine.groupBy("language").agg(*figures).filter(F.col("n") >= LEAST_LABELS))
+    if not every["n"]:
+        return own.select("language", F.lit(0.0).alias("threshold")), None
+    met = sample.join(own, "language", "left")
+    z = (F.col("x") - F.coalesce("mid", F.lit(every["mid"]))) / F.coalesce("spread", F.lit(every["spread"]))
+    wrong = [F.sum(((F.col("label") == 1) & (z > k)).cast("long")).alias(f"good_{i}") for i, k in enumerate(MULTIPLES)]
+    wrong += [F.sum(((F.col("label") == 0) & (z <= k)).cast("long")).alias(f"bad_{i}") for i, k in enumerate(MULTIPLES)]
+    r = met.agg(F.sum((F.col("label") == 0).cast("long")).alias("n_bad"), *wrong).first()
+    chosen = USUAL_MULTIPLE
     if r["n_bad"] >= LEAST_BAD:
-        errors = [r[f"good_{i}"] / found[None]["n"] + r[f"bad_{i}"] / r["n_bad"] for i in range(len(DEVIATIONS))]
-        chosen = max(k for k, e in zip(DEVIATIONS, errors, strict=True) if e == min(errors))
-        return {k: math.exp(mid[k] + chosen * spread[k]) for k in found}
-    return {k: float(f["top"]) * margin if f["n"] * (1 - quantile) >= 1 else math.exp(mid[k] + USUAL_DEVIATIONS * spread[k]) for k, f in found.items()}
+        errors = [r[f"good_{i}"] / every["n"] + r[f"bad_{i}"] / r["n_bad"] for i in range(len(MULTIPLES))]
+        chosen = max(k for k, e in zip(MULTIPLES, errors, strict=True) if e == min(errors))
+    return own.select("language", F.exp(F.col("mid") + chosen * F.col("spread")).alias("threshold")), math.exp(every["mid"] + chosen * every["spread"])
 
 
-def judge_perplexity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", language_column: str = "lang", label_column: str = "quality", quantile: float = QUANTILE, margin: float = MARGIN, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def judge_perplexity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", language_column: str = "lang", label_column: str = "quality", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per row of docs: key, doc_id, language, n_bytes, perplexity (per byte), threshold, kept.
 
     Trusted text is that of rows labelled 1; a fifth of them, by crc32 of the id, is held out of the
     model and gives the thresholds of `thresholds`, of a language or of all if it has fewer than 50 held-out
-    rows (or is none of the 64 most frequent languages). Rows labelled 0 help to choose them, if held out too. Texts without bytes
-    (null too) have no perplexity and go; without any trusted text, all others stay. A null language reads ''.
+    rows. Rows labelled 0 help to choose them, if held out too. Texts without bytes
+    (null too) have no perplexity and go; without any trusted text, all others stay; one that equals its threshold stays. Texts of any
+    length are scored whole. A null language reads ''.
     Null labels are not used; of several labels for one id the least holds. Repeated rows are
     judged alike. An empty table gives no rows; other columns are ignored.
     """
@@ -258,11 +249,14 @@ def judge_perplexity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_i
     size = sum(t.count() for t in [*tables, *rests])
     scored = (score_broadcast if size <= broadcast_rows else score_joined)(rows, tables, rests)
     scored = durable(scored.withColumn("perplexity", F.when(F.col("n_bytes") > 0, F.exp(-F.col("log_p") / F.col("n_bytes")))))
-    limit = F.lit(None).cast("double")
-    sample = durable(scored.filter(held_out(F.col("doc_id")) & F.col("perplexity").isNotNull()).join(known, "doc_id").select("language", "label", "perplexity", F.log("perplexity").alias("x")))
-    for language, value in sorted(thresholds(sample, quantile, margin).items(), key=lambda v: v[0] is not None):
-        limit = F.lit(value) if language is None else F.when(F.col("language") == language, F.lit(value)).otherwise(limit)
-    judged = scored.withColumn("threshold", limit)
+    sample = durable(scored.filter(held_out(F.col("doc_id")) & F.col("perplexity").isNotNull()).join(known, "doc_id").select("language", "label", F.log("perplexity").alias("x")))
+    limits, others = thresholds(sample)
+    if limits.count() <= BROADCAST_LANGUAGES:
+        judged = scored.join(F.broadcast(limits), "language", "left")
+    else:  # one language may hold a large part of the rows
+        salted = limits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        judged = scored.withColumn("salt", F.pmod(F.col("key"), F.lit(SALTS)).cast("int")).join(salted, ["language", "salt"], "left")
+    judged = judged.withColumn("threshold", F.coalesce("threshold", F.lit(others).cast("double")))
     kept = F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
     return judged.select("key", "doc_id", "language", "n_bytes", "perplexity", "threshold", kept.alias("kept"))
 
