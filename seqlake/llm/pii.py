@@ -9,10 +9,10 @@ with c in many. Where the information reaches `GENERALISE` of the identifier's,
 wherever it stands, in every text; from `REMOVE` on it is removed. An identifier that all texts hold says nothing.
 
 All of it is DataFrame operations. Texts are never shuffled: identifiers are found once and kept with the
-texts that hold some; of all words only those that pass a bitmap of the terms beside identifiers are counted, and
-only the places of those that pass a bitmap of the chosen terms are joined with these. The bitmaps have a fixed size.
-Counts are added up before each shuffle. Lists of terms and identifiers are broadcast up to `BROADCAST_ROWS` rows;
-beyond, they are joined with the other side's salted rows, since one term or identifier may fill a large part of them.
+texts that hold some; of all words only those that pass a bitmap of the terms beside identifiers are counted, beside identifiers only
+those that could disclose one, and only the places of those that pass a bitmap of the chosen terms are joined with these.
+The bitmaps have a fixed size. Counts are added up before each shuffle. Lists of terms and identifiers (as 64-bit hashes) are
+broadcast up to `BROADCAST_ROWS` rows; beyond, both sides are sorted, and Spark splits a term or identifier that fills a large part.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from .words import durable, row_key, spare, with_row_key
 
 GENERALISE, REMOVE, SMOOTHING = 0.8, 0.95, 1.0
 BROADCAST_ROWS = 200_000
-SALTS, BITMAP_BITS = 16, 25
+BITMAP_BITS = 25
 KINDS = ("email", "ip", "card", "phone")
 REPLACEMENTS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "remove": ""}
 # What a term becomes by how it is written; the first that fits.
@@ -161,11 +161,8 @@ def terms_in(text: Column) -> Column:
 
 
 def listed(left: DataFrame, few: DataFrame, on: str, broadcast_rows: int) -> DataFrame:
-    """left joined with a durable list of different values of a column."""
-    if few.count() <= broadcast_rows:
-        return left.join(F.broadcast(few), on)
-    salted = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.withColumn("salt", F.floor(F.rand(7) * SALTS).cast("int")).join(salted, [on, "salt"]).drop("salt")
+    """left joined with a durable list of different values of a column; a long list is not broadcast, and Spark splits what is skewed on the left."""
+    return left.join(F.broadcast(few) if few.count() <= broadcast_rows else few.hint("merge"), on)
 
 
 def passing(written: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -187,9 +184,9 @@ def decisions(marked: DataFrame, texts: DataFrame, n_texts: int, generalise: flo
     words = passing(texts.select(F.explode(terms_in(F.col("free"))).alias("term")), near).groupBy("term").agg(F.count("*").alias("seen"))
     # no entity can be told from a term that falls short of the lowest bound with all texts that hold it and any entity
     could = near.join(words, "term").filter((F.col("most") + smoothing * high) / (F.col("seen") + smoothing) >= low ** (1 - generalise) * (1 - 1e-9))
-    met = listed(beside, durable(could.select("term", "seen")), "term", broadcast_rows)
-    joint = met.select("term", "seen", F.explode("entities").alias("entity")).groupBy("term", "seen", "entity").agg(F.count("*").alias("joint"))
-    weighed = listed(joint, entities, "entity", broadcast_rows)
+    could = durable(could.select("term", "seen"))
+    joint = passing(beside, could).select("term", F.explode("entities").alias("entity")).groupBy("term", "entity").agg(F.count("*").alias("joint"))
+    weighed = listed(listed(joint, could, "term", broadcast_rows), entities, "entity", broadcast_rows)
     p = F.col("held") / n_texts
     disclosed = 1 + F.log((F.col("joint") + smoothing * p) / (F.col("seen") + smoothing)) / -F.log(p)
     told = weighed.withColumn("disclosed", disclosed).filter(F.col("disclosed") >= generalise)
@@ -210,7 +207,7 @@ def find_pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     rows = plain.withColumn("base", base_spans(F.col("text")))
     rows = rows.withColumn("free", F.when(F.size("base") > 0, blanked(F.col("text"), F.col("base"))).otherwise(F.col("text")))
     spans = durable(rows.select("key", "doc_id", "base", F.when(F.size("base") > 0, F.col("free")).alias("free")))
-    named = F.array_distinct(F.transform("base", lambda s: F.concat(s["kind"], F.lit(":"), s["value"])))
+    named = F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], s["value"])))
     marked = spans.filter(F.size("base") > 0).select("free", named.alias("entities"))
     chosen = durable(decisions(marked, rows, spans.count(), generalise, remove, smoothing, broadcast_rows))
     written = rows.select("key", "doc_id", F.explode(found(F.col("free"), TERM, "", F.lower)).alias("s")).select("key", "doc_id", F.col("s.value").alias("term"), "s.start", "s.end")
