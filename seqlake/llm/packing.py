@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .words import slices, split_words, texts_of
+from .words import KEPT, slices, split_words, texts_of
 
 CAPACITY, END_ID = 2048, 1
 SENTENCE_PENALTY, WORD_PENALTY, SEQUENCE_COST = 2.0, 32.0, 8.0
@@ -184,6 +184,7 @@ class Tokens:
 
 
 READY: dict[str, Tokens] = {}
+KEPT["packing"] = READY
 
 
 def tokens_of(path: str) -> Tokens:
@@ -275,7 +276,7 @@ def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column
 
         task = TaskContext.get()
         tokens, packer = tokens_of(tokenizer), Packer((task.partitionId() if task else 0) << 40, capacity)
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", 8 << 20, "packing"):
             out = []
             for doc, (ids, ends) in zip(batch.column("id").to_pylist(), tokens(texts_of(batch)), strict=True):
                 out += packer.add(doc, ids, ends)

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import slices, texts_of
+from .words import KEPT, slices, texts_of
 
 OVER = 1024
 CHUNK, WARM = 256, 6
@@ -318,6 +318,7 @@ class TokenCounter:
 
 
 COUNTERS: dict[str, TokenCounter] = {}
+KEPT["token_counts"] = COUNTERS
 
 
 def counter_for(path: str) -> TokenCounter:
@@ -338,7 +339,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_for(tokenizer)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", keep="token_counts"):
             texts = texts_of(batch)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pc.binary_length(texts).cast(pa.int64()), pa.array(counter(texts), pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 

@@ -6,6 +6,7 @@ All of them work on one bounded slice of a partition at a time, so a worker's me
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -19,8 +20,27 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 6 << 20
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in the same order, in batches of about max_bytes of `column` (one row at least)."""
+#: What workers keep from one task to the next, by operator.
+KEPT: dict[str, dict] = {}
+
+
+def give_back() -> None:
+    """Hands memory that is free back to the machine: a worker waits for its next task while others, and the JVM, need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = SLICE_BYTES, keep: str = "") -> Iterator[pa.RecordBatch]:
+    """The same rows in the same order, in batches of about max_bytes of `column` (one row at least).
+
+    What the worker kept for other operators than `keep` is dropped first, and free memory given back at the end.
+    """
+    for name, kept in KEPT.items():
+        if name != keep:
+            kept.clear()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -29,6 +49,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = SLIC
         starts = [0, *(np.flatnonzero(np.diff(cut)) + 1), batch.num_rows]
         for a, b in zip(starts, starts[1:], strict=False):
             yield batch.slice(a, b - a)
+    give_back()
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
