@@ -4,7 +4,7 @@ A MinHash LSH forest finds candidates. Each of `TREES` trees holds every documen
 `DEEPEST` labels, packed into one integer with the tree in front: a tree is its sorted signatures, and a node of its
 prefix trie is a run of them that share their first labels. Documents are matched at full depth
 first; then the prefix is shortened label by label, and at each depth the nodes that still hold several
-classes are compared. How far it is shortened is measured: a part of the documents, each against a
+classes are compared: of some trees on the way, of all at the end. How far it is shortened is measured: a part of the documents, each against a
 made copy at exactly the threshold, shows how often two such signatures share a prefix in a
 tree, and the shortening ends at the first depth at which a pair at the threshold meets in some tree with
 the target chance.
@@ -301,10 +301,10 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str
     found = plain.join(wanted.hint("shuffle_hash"), "key").groupBy("set").agg(F.first("text").alias("text"))
     shingles = durable(with_shingles(found))
     volumes = sets.select("set", "bytes")
-    # most copies meet at full depth in the first trees already; all others only compare what could still join two classes
-    labels = joined_at(members, labels, shingles, volumes, DEEPEST, 0, FIRST_TREES, threshold)
+    # most copies meet in a longer prefix of the first trees already; at the last depth, whose nodes hold those above, all trees
+    # compare what could still join two classes
     for depth in range(DEEPEST, last - 1, -1):
-        labels = joined_at(members, labels, shingles, volumes, depth, FIRST_TREES if depth == DEEPEST else 0, TREES, threshold)
+        labels = joined_at(members, labels, shingles, volumes, depth, 0, TREES if depth == last else FIRST_TREES, threshold)
     copies = sets.select("set", "copies")
     if count_links:
         size = labels.join(volumes, "set").groupBy("label").agg(F.count("*").alias("size"), F.sum("bytes").alias("volume")).filter("size > 1")
