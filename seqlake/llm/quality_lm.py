@@ -219,13 +219,15 @@ def thresholds(sample: DataFrame) -> tuple[DataFrame, float | None]:
         return own.select("language", F.lit(0.0).alias("threshold")), None
     met = sample.join(own, "language", "left")
     z = (F.col("x") - F.coalesce("mid", F.lit(every["mid"]))) / F.coalesce("spread", F.lit(every["spread"]))
-    wrong = [F.sum(((F.col("label") == 1) & (z > k)).cast("long")).alias(f"good_{i}") for i, k in enumerate(MULTIPLES)]
-    wrong += [F.sum(((F.col("label") == 0) & (z <= k)).cast("long")).alias(f"bad_{i}") for i, k in enumerate(MULTIPLES)]
-    r = met.agg(F.sum((F.col("label") == 0).cast("long")).alias("n_bad"), *wrong).first()
+    step = F.greatest(F.ceil((z - MULTIPLES[0]) / (MULTIPLES[1] - MULTIPLES[0])), F.lit(0))  # the first multiple that keeps a row
+    counts = {(r["label"], r["step"]): r["n"] for r in met.filter("label in (0, 1)").groupBy("label", F.least(step, F.lit(len(MULTIPLES))).alias("step")).agg(F.count("*").alias("n")).collect()}  # a row for each multiple and label
+    n_bad = sum(n for (label, _), n in counts.items() if label == 0)
     chosen = USUAL_MULTIPLE
-    if r["n_bad"] >= LEAST_BAD:
-        errors = [r[f"good_{i}"] / every["n"] + r[f"bad_{i}"] / r["n_bad"] for i in range(len(MULTIPLES))]
-        chosen = max(k for k, e in zip(MULTIPLES, errors, strict=True) if e == min(errors))
+    if n_bad >= LEAST_BAD:
+        upto = lambda label, i: sum(counts.get((label, k), 0) for k in range(i + 1))
+        errors = [1 - upto(1, i) / every["n"] + upto(0, i) / n_bad for i in range(len(MULTIPLES))]
+        least = min(errors) + 1e-12
+        chosen = max(k for k, e in zip(MULTIPLES, errors, strict=True) if e <= least)
     return own.select("language", F.exp(F.col("mid") + chosen * F.col("spread")).alias("threshold")), math.exp(every["mid"] + chosen * every["spread"])
 
 
