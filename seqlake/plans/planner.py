@@ -147,6 +147,11 @@ def capped_prefix(files: DataFrame, most: int, by: str = "depth") -> DataFrame:
     return rows.filter((F.col("__n") <= 2) | (F.col("__before") < most)).withColumn("total", F.col("__before") + F.col("size")).drop("__n", "__before")
 
 
+def newest_file(files: DataFrame) -> DataFrame:
+    """The file that was made last: the one with the largest number."""
+    return files.agg(F.max_by(F.struct(*files.columns), "num").alias("f")).filter("f is not null").select("f.*")
+
+
 def live(edits: DataFrame) -> DataFrame:
     """num of the files that are live after edits (edit, op, num): those whose last edit adds them."""
     return edits.groupBy("num").agg(F.max_by("op", "edit").alias("op")).filter("op = 'add'").select("num")

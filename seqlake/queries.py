@@ -347,6 +347,11 @@ def manifest_fold(spark, d):
     return planner.live(added.union(gone))
 
 
+@query(f"WITH {FILES} SELECT num, depth, size, min_key, max_key FROM files WHERE num = (SELECT max(num) FROM files)")
+def newest_file(spark, d):
+    return planner.newest_file(fx.files(spark, d)).select("num", "depth", "size", "min_key", "max_key")
+
+
 @query(f"WITH {FILES} SELECT depth, count(*) AS tables, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(entries) AS BIGINT) AS entries, CAST(sum(tombstones) AS BIGINT) AS tombstones FROM files GROUP BY depth")
 def depth_histogram(spark, d):
     return planner.depth_histogram(fx.files(spark, d))
@@ -555,3 +560,36 @@ def engine_deduplication(spark, d):
     t.write_df(puts.filter(F.col("ord") <= half), ["ord"], 2)
     t.write_df(puts.filter(F.col("ord") > half), ["ord"], 2)
     return text(t.updates_since(0)).select("seq", "key", "value")
+
+
+@query(f"WITH {M}, {PLAIN} SELECT key, value, expires_at, seq FROM v WHERE value LIKE '%1%'")
+def engine_filter(spark, d):
+    t = filled(spark, d, 2, compaction_filter=lambda key, value, expires_at: value.cast("string").like("%1%"))
+    t.compact_range()
+    return text(t.scan())
+
+
+@query(f"WITH {M}, {PLAIN} SELECT key, value, expires_at, seq FROM v WHERE key >= 'u00000020'")
+def engine_pinned(spark, d):
+    t = filled(spark, d, 2)
+    s = t.snapshot()
+    t.delete_range(b"a", b"z")
+    t.compact_range()
+    t.vacuum()
+    return text(s.scan(b"u00000020"))  # the snapshot keeps its versions and its files
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) + 1 AS seq, CAST(n_nationkey AS BIGINT) + 1 AS batch_seq, n_name AS value FROM nation")
+def engine_group(spark, d):
+    t = Engine.open(spark, fresh_folder(spark), clock=lambda: T)
+    with t.group():
+        for r in fx.table(spark, d, "nation").orderBy("n_nationkey").collect():  # 25 rows
+            t.put(b"%02d" % r["n_nationkey"], r["n_name"].encode())
+    return text(t.updates_since(0)).select("seq", "batch_seq", "value")
+
+
+@query(f"WITH {M} SELECT CAST(1 AS INT) AS depth, count(*) AS entries, count(*) FILTER (WHERE kind = 1) AS tombstones FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) WHERE kind = 0 AND (expires_at = 0 OR expires_at > {T})")
+def engine_levels(spark, d):
+    t = filled(spark, d, 3)
+    t.compact_range()
+    return t.levels().select("depth", "entries", "tombstones")
